@@ -149,8 +149,8 @@ def encode_words(codec: MonoidBPE, memo: Memo, words: list[str]) -> list[tuple[t
     def make(new: list[str]):
         return [(ids, " ".join(map(str, ids))) for ids in (codec.encode_word(w.encode()) for w in new)]
 
-    memo.fill(set(words), make)
-    return [memo[w] for w in words]
+    known = memo.fill(set(words), make)
+    return [known[w] for w in words]
 
 
 def coder(path: str, pattern: str, with_ids: bool = False):

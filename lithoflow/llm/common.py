@@ -93,25 +93,24 @@ def empty_like(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
-class Memo(dict):
-    """A dict of bounded size for fill(): at `most` entries it becomes the older half, from which entries come back when used."""
+class Memo:
+    """A memo of bounded size: `known` becomes `older` at `most` entries; entries come back from there when used."""
 
     def __init__(self, most: int):
-        super().__init__()
         self.most = most
+        self.known: dict = {}  # plain dicts: a set's difference to them takes the set's size, not theirs
         self.older: dict = {}
 
-    def fill(self, keys: set, make: Callable[[list], list]) -> None:
-        """Afterwards all keys are in the memo; make gives the values of those that were not known."""
-        new = keys.difference(self)
-        if len(self) + len(new) > self.most and self:
-            self.older = dict(self)
-            self.clear()
-            new = keys
-        if not new:
-            return
-        if self.older:
-            self.update((k, self.older[k]) for k in new & self.older.keys())
-            new = new.difference(self)
-        new = list(new)
-        self.update(zip(new, make(new), strict=True))
+    def fill(self, keys: set, make: Callable[[list], list]) -> dict:
+        """A dict that holds all keys; make gives the values of those that were not known."""
+        new = keys.difference(self.known)
+        if len(self.known) + len(new) > self.most and self.known:
+            self.older, self.known, new = self.known, {}, keys
+        if new and self.older:
+            older = self.older
+            self.known.update([(k, older[k]) for k in new if k in older])
+            new = new.difference(self.known)
+        if new:
+            new = list(new)
+            self.known.update(zip(new, make(new), strict=True))
+        return self.known

@@ -215,8 +215,8 @@ def cutter(path: str, pattern: str, capacity: int, end_id: int):
         return [np.array(e.ids, "<u4").tobytes() for a in range(0, len(new), 4096) for e in tokenizer.encode_batch_fast(new[a : a + 4096], add_special_tokens=False)]
 
     def ids_of(part: list[str]) -> bytes:
-        memo.fill(set(part), make)
-        return b"".join([memo[w] for w in part])
+        known = memo.fill(set(part), make)
+        return b"".join([known[w] for w in part])
 
     def one(text: bytes | None):
         """(piece, start, length, crc) of each piece; only the first may be shorter."""
