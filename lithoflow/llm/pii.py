@@ -23,7 +23,7 @@ BASE = {
 }
 #: Wider patterns of candidates that no base pattern finds: written-out, bracketed or oddly separated.
 WIDE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\s?(?:\[at\]|\(at\)|\{at\}|\sat\s|@)\s?[a-z0-9-]{1,63}+(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\sdot\s|\.)\s?[a-z0-9-]{2,63}+){1,4}+",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?:\s?(?:\[at\]|\(at\)|\{at\}|@)\s?[a-z0-9-]{1,63}+(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\.)\s?[a-z0-9-]{2,63}+){1,4}+|\sat\s[a-z0-9-]{1,63}+(?:\sdot\s[a-z0-9-]{2,63}+){1,4}+)",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\s?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\s?[0-9]{1,3}+){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[./_]|\x20\x20|\x20-\x20)[0-9]{4}(?:[./_]|\x20\x20|\x20-\x20)[0-9]{4}(?:[./_]|\x20\x20|\x20-\x20)[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+(.-])(?:00[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",

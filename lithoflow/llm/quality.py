@@ -25,7 +25,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Words that a text needs before a distribution counts against it.
 MIN_WORDS_CLASSES, MIN_WORDS_COMMON = 50, 150
 #: Jensen-Shannon distances (0 to 1) to the nearest reference, beyond which a text is rejected.
-MAX_CLASSES, MAX_COMMON = 0.25, 0.75
+MAX_CLASSES, MAX_COMMON = 0.28, 0.6
 #: Base rules: the least words, and the greatest share in percent of words in repeated windows.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 

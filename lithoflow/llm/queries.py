@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoflow.llm import bpe, chat, langid, packing, pii, quality, topk
+from lithoflow.llm import bpe, chat, langid, packing, pii, quality, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_distribution_divergence": quality.op1,
         "op2_best_fit_packing": packing.op2,
+        "op3_bit_sliced_simhash": simhash.op3,
         "op5_weak_pii": pii.op5,
         "op6_monoid_bpe": bpe.op6,
         "op8_language_id": langid.op8,
