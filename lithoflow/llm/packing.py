@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithoflow.llm.bpe import WORDS, word_parts
+from lithoflow.llm.bpe import WORDS, Words
 from lithoflow.llm.common import Memo, durable, map_texts, table
 
 CAPACITY = 2048
@@ -204,11 +204,9 @@ def _tokenizer(path: str):
 def cutter(path: str, pattern: str, capacity: int, end_id: int):
     import os
 
-    import regex
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tokenizer, memo = _tokenizer(path)
-    words = regex.compile(pattern)
+    words = Words(pattern)
     last = end_id.to_bytes(4, "little")
 
     def make(new: list[str]) -> list[bytes]:
@@ -220,7 +218,7 @@ def cutter(path: str, pattern: str, capacity: int, end_id: int):
 
     def one(text: bytes | None):
         """(piece, start, length, crc) of each piece; only the first may be shorter."""
-        data = b"".join([ids_of(p) for p in word_parts(words, (text or b"").decode("utf-8", "replace"))]) + last
+        data = b"".join([ids_of(p) for p in words.parts((text or b"").decode("utf-8", "replace"))]) + last
         n = len(data) // 4
         first = n % capacity or capacity
         cuts = [0, *range(first, n + 1, capacity)]
