@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoflow.llm import bpe, chat, langid, packing, pii, quality, simhash, topk
+from lithoflow.llm import bpe, chat, langid, packing, pii, quality, simhash, suffixes, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bit_sliced_simhash": simhash.op3,
         "op5_weak_pii": pii.op5,
         "op6_monoid_bpe": bpe.op6,
+        "op7_suffix_dedup": suffixes.op7,
         "op8_language_id": langid.op8,
         "op9_chat_format": chat.op9,
         "op10_exact_top_k": topk.op10,
