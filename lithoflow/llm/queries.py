@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoflow.llm import bpe, chat, langid, packing, pii, quality, simhash, suffixes, topk
+from lithoflow.llm import bpe, chat, langid, packing, pii, quality, simhash, suffixes, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_distribution_divergence": quality.op1,
         "op2_best_fit_packing": packing.op2,
         "op3_bit_sliced_simhash": simhash.op3,
+        "op4_string_kernel_toxicity": toxicity.op4,
         "op5_weak_pii": pii.op5,
         "op6_monoid_bpe": bpe.op6,
         "op7_suffix_dedup": suffixes.op7,
