@@ -17,7 +17,7 @@ from lithoflow.llm.common import Memo, map_texts, table
 #: Bytes up to which a substring's encoding is remembered; halves are taken above that.
 LEAF = 6
 #: Entries of a memo of pairs or substrings, which is emptied when full, and of the two halves of a memo of words.
-MEMO, WORDS = 250_000, 300_000
+MEMO, WORDS = 250_000, 200_000
 #: Texts of more code points are split into words piece by piece.
 STREAM = 1 << 20
 #: Ids that one leaf of a decoding tree holds.

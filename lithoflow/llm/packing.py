@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lithoflow.llm.bpe import WORDS, Words
-from lithoflow.llm.common import Memo, durable, map_texts, table
+from lithoflow.llm.common import Memo, chunks, durable, map_texts, table
 
 CAPACITY = 2048
 #: Fillings that one search for a completion may look at, completions that a node branches on, and nodes in all.
 FILL_NODES, BRANCHES, NODES = 3000, 3, 20_000
+#: Bytes of texts whose words are looked up together; less than bpe.STREAM, so that each is one list of words.
+TOGETHER = 1 << 18
 #: Pieces of one length that are numbered by one task, and the least number of such tasks a length.
 RANK_ROWS, RANK_TASKS = 250_000, 16
 
@@ -212,19 +214,26 @@ def cutter(path: str, pattern: str, capacity: int, end_id: int):
     def make(new: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for a in range(0, len(new), 4096) for e in tokenizer.encode_batch_fast(new[a : a + 4096], add_special_tokens=False)]
 
-    def ids_of(part: list[str]) -> bytes:
-        known = memo.fill(set(part), make)
-        return b"".join([known[w] for w in part])
-
-    def one(text: bytes | None):
+    def pieces(data: bytes) -> list[dict]:
         """(piece, start, length, crc) of each piece; only the first may be shorter."""
-        data = b"".join([ids_of(p) for p in words.parts((text or b"").decode("utf-8", "replace"))]) + last
         n = len(data) // 4
-        first = n % capacity or capacity
-        cuts = [0, *range(first, n + 1, capacity)]
+        cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
         return [{"piece": i, "start": a, "length": b - a, "ids_crc32": zlib.crc32(data[4 * a : 4 * b])} for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
-    return lambda texts: [[one(t) for t in texts]]
+    def some(texts: list[bytes | None]) -> list[list[dict]]:
+        """Of texts whose words are looked up together, but for texts so long that they go part by part."""
+        split = [words.parts((t or b"").decode("utf-8", "replace")) for t in texts]
+        if len(texts) == 1:
+            data = []
+            for part in split[0]:
+                known = memo.fill(set(part), make)
+                data.append(b"".join([known[w] for w in part]))
+            return [pieces(b"".join(data) + last)]
+        held = [list(parts)[0] for parts in split]
+        known = memo.fill(set().union(*held), make)
+        return [pieces(b"".join([known[w] for w in part]) + last) for part in held]
+
+    return lambda texts: [[x for a, b in chunks([len(t) if t else 0 for t in texts], TOGETHER) for x in some(texts[a:b])]]
 
 
 _PIECES = T.ArrayType(T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]))
