@@ -10,14 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithoflow.llm.bpe import WORDS, Words
-from lithoflow.llm.common import Memo, chunks, durable, map_texts, table
+from lithoflow.llm.common import durable, map_texts, table
 
 CAPACITY = 2048
 #: Fillings that one search for a completion may look at, completions that a node branches on, and nodes in all.
 FILL_NODES, BRANCHES, NODES = 3000, 3, 20_000
-#: Bytes of texts whose words are looked up together; less than bpe.STREAM, so that each is one list of words.
-TOGETHER = 1 << 18
 #: Pieces of one length that are numbered by one task, and the least number of such tasks a length.
 RANK_ROWS, RANK_TASKS = 250_000, 16
 
@@ -194,46 +191,37 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
 
 
 @lru_cache(2)
-def _tokenizer(path: str):
-    """The tokenizer, and a memo of words to their ids as little-endian bytes."""
-    from tokenizers import Tokenizer
+def _tokenizer(path: str, pattern: str):
+    """The byte-level BPE of a tokenizers file, run by the faster of the two libraries that give its ids.
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made, Memo(WORDS)
+    Ids of such a file are its merges' order, so its vocabulary, bytes written out, is a table of ranks. Strings of
+    special tokens in a text are ordinary text.
+    """
+    import json
 
+    import tiktoken
 
-def cutter(path: str, pattern: str, capacity: int, end_id: int):
-    import os
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    # byte-level files write each byte as a printable character: itself if it is one, else the next from U+0100
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    tokenizer, memo = _tokenizer(path)
-    words = Words(pattern)
-    last = end_id.to_bytes(4, "little")
 
-    def make(new: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for a in range(0, len(new), 4096) for e in tokenizer.encode_batch_fast(new[a : a + 4096], add_special_tokens=False)]
+def cutter(path: str, pattern: str, capacity: int, end_id: int):
+    encoding = _tokenizer(path, pattern)
 
-    def pieces(data: bytes) -> list[dict]:
+    def one(text: bytes | None) -> list[dict]:
         """(piece, start, length, crc) of each piece; only the first may be shorter."""
+        ids = encoding.encode_to_numpy((text or b"").decode("utf-8", "replace"), disallowed_special=())
+        data = ids.astype("<u4").tobytes() + end_id.to_bytes(4, "little")
         n = len(data) // 4
         cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
         return [{"piece": i, "start": a, "length": b - a, "ids_crc32": zlib.crc32(data[4 * a : 4 * b])} for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
-    def some(texts: list[bytes | None]) -> list[list[dict]]:
-        """Of texts whose words are looked up together, but for texts so long that they go part by part."""
-        split = [words.parts((t or b"").decode("utf-8", "replace")) for t in texts]
-        if len(texts) == 1:
-            data = []
-            for part in split[0]:
-                known = memo.fill(set(part), make)
-                data.append(b"".join([known[w] for w in part]))
-            return [pieces(b"".join(data) + last)]
-        held = [list(parts)[0] for parts in split]
-        known = memo.fill(set().union(*held), make)
-        return [pieces(b"".join([known[w] for w in part]) + last) for part in held]
-
-    return lambda texts: [[x for a, b in chunks([len(t) if t else 0 for t in texts], TOGETHER) for x in some(texts[a:b])]]
+    return lambda texts: [[one(t) for t in texts]]
 
 
 _PIECES = T.ArrayType(T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]))
@@ -242,8 +230,7 @@ _PIECES = T.ArrayType(T.StructType([T.StructField("piece", T.IntegerType()), T.S
 def cut(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece of every whole text: its ids by the tokenizer at path, then end_id; longer ones are cut at capacity.
 
-    pattern is the tokenizer's own word split, so that each distinct word is encoded once a worker. Null texts are empty: one piece
-    that holds end_id alone. Repeated rows are cut one by one; columns that aren't kept don't matter.
+    pattern is the tokenizer's own word split. Null texts are empty: one piece that holds end_id alone. Repeated rows are cut one by one; columns that aren't kept don't matter.
     """
     made = map_texts(docs, text, keep, [("__pieces", _PIECES)], lambda: cutter(path, pattern, capacity, end_id))
     return made.select(*[F.col(f"`{k}`") for k in keep], F.inline("__pieces"))
