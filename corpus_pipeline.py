@@ -1,8 +1,64 @@
-"""Corpus pipeline; its stages follow."""
+"""Corpus pipeline: language ID, near-duplicates, repeated passages, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents. Extra columns of docs go through the stages; columns named like those used here are read as such.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lithoflow.llm import langid, packing, pii, simhash, suffixes
+from lithoflow.llm.common import saved, table
+
+#: Least score of a text's language; below that, and without letters, a document goes.
+MIN_SCORE = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with MIN_SCORE at least; profiles come from all rows with a language."""
+    profiles = langid.learn_profiles(docs)
+    told = langid.identify(docs, profiles, pred="__lang_pred", score="__lang_score")
+    return told.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id, once; rows without an id go if their text is there twice."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    found = simhash.near_duplicates(docs, keep=["doc_id"])
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").cast("string").alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(gone, "__key", "left_anti").dropDuplicates(["__key"]).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of passages that also are elsewhere; characters cut in two go whole. Null texts stay null."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    kept = suffixes.deduplicate(docs.withColumn("__null", F.col("text").isNull()), keep=[*others, "__null"], as_text=True)
+    text = F.when(~F.col("__null"), F.col("kept"))
+    return kept.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by names of its kinds."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("suffix_dedup", repeated_passages), ("pii", personal_data), ("packing", packed)]
+
+#: SQL has no XXH64 fingerprint, BPE or EM fit; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = saved(docs)
+    return docs

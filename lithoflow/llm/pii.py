@@ -239,9 +239,13 @@ def digest(found: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with each span in text replaced by [KIND]; overlapping spans are one, named by the first. Null texts stay null."""
+    """docs with each span in text replaced by [KIND]; overlapping spans are one, named by the first. Null texts stay null.
+
+    Candidates are taken twice, for the fit and for the texts, so that no text is kept in between.
+    """
     columns = docs.columns
-    found = find(docs, text, columns, threshold)
+    weights = fit(candidates(docs, text, []))
+    found = candidates(docs, text, columns).withColumn("spans", _chosen(weights, threshold))
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     none = F.array().cast("array<struct<start:int,stop:int,kind:int>>")
 

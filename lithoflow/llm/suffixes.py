@@ -290,14 +290,16 @@ def removed_runs(spans: list[tuple[int, int]], window: int = WINDOW) -> list[tup
     return [(a, b) for a, b in out]
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """keep's columns, n_bytes, n_removed, n_spans, kept_sha256 and kept: the bytes left of each text.
 
+    as_text: kept is a string, without the bytes of characters that were cut.
+
     Each byte goes that is covered by a 400-byte string which also starts anywhere else, in this text or another; all
     strings are judged on the input. Null texts are empty. Repeated rows are each other's copies. Texts under 400 bytes
     stay as they are. Columns that are not kept don't matter; kept ones named like a result give way. An empty table stays empty.
     """
-    new = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.BinaryType())]
+    new = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType() if as_text else T.BinaryType())]
     keep = [k for k in (docs.columns if keep is None else keep) if k not in [n for n, _ in new]]
     spans = repeated_windows(docs, id_col, text).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     source = _keyed(docs, id_col, text).select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.col("__t").alias("t"))
@@ -318,7 +320,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
                     at = b
                 left.append(t[at:])
                 kept = b"".join(left)
-                for column, value in zip(out, (len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                for column, value in zip(out, (len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *[pa.array(x, arrow.field(i + 1).type) for i, x in enumerate(out)]], schema=arrow)
 
