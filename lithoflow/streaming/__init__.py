@@ -1,0 +1 @@
+"""Nothing here streams: every job of this engine reads files that are complete. Its operators take batch DataFrames."""
