@@ -83,6 +83,7 @@ def test_hot_length_is_numbered_in_parts(spark, monkeypatch):
     got = K.pack(pieces, ["doc_id", "piece"]).toPandas()
     assert len(got) == 3000 and not got.duplicated(["sequence_id", "offset"]).any()
     used = got.groupby("sequence_id")["length"].sum()
-    assert used.max() <= 2048 and len(used) <= -(-int(got["length"].sum()) // 2048) + 1
+    # no three pieces of 700 fit one sequence, so 1,000 of them need 500
+    assert used.max() <= 2048 and len(used) == 500
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g["offset"].to_numpy() == np.concatenate(([0], g["length"].cumsum()[:-1]))).all()
