@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lithoflow.durable import durable
+
 #: Traces that are sent to every task at most: 24 bytes each, 48 MB.
 BROADCAST = 2_000_000
 #: Traces that a grid cell should hold on average, for each neighbour wanted.
 PER_CELL = 2.0
+#: Points that are sent to every task at most, where they scan all traces, and growth of cells from round to round.
+FEW, GROW = 4096, 4
 #: Points whose distances to all traces one step of the broadcast strategy takes: the product stays under this.
 DISTANCES = 4_000_000
 
@@ -53,37 +57,53 @@ def _sent(points: DataFrame, traces: DataFrame, key: str, k: int) -> DataFrame:
     return points.select(key, "x0", "y0").mapInPandas(nearest, schema)
 
 
+def _scan(points: DataFrame, traces: DataFrame, key: str, k: int) -> DataFrame:
+    """The few points, of checked number, go to all tasks; each finds its own nearest, and the nearest of those are taken."""
+    local = points.toPandas()
+    held = points.sparkSession.sparkContext.broadcast((local[key].tolist(), local["x0"].to_numpy(float), local["y0"].to_numpy(float)))
+    schema = T.StructType([points.schema[key], T.StructField("TraceIdx", T.LongType()), T.StructField("d2", T.DoubleType())])
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, x0, y0 = held.value
+        ids, d2 = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        step = max(k, DISTANCES // max(1, len(names)))
+        for frame in frames:
+            for a in range(0, len(frame), step):
+                part = frame.iloc[a : a + step]
+                new = (part["X"].to_numpy()[None, :] - x0[:, None]) ** 2 + (part["Y"].to_numpy()[None, :] - y0[:, None]) ** 2
+                d2 = np.hstack([d2, new])
+                ids = np.hstack([ids, np.broadcast_to(part["TraceIdx"].to_numpy(np.int64), new.shape)])
+                order = np.lexsort((ids, d2), axis=-1)[:, :k]
+                ids, d2 = np.take_along_axis(ids, order, 1), np.take_along_axis(d2, order, 1)
+        for name, i, d in zip(names, ids, d2, strict=True):
+            yield pd.DataFrame({key: [name] * len(i), "TraceIdx": i, "d2": d})
+
+    return _ranked(traces.mapInPandas(nearest, schema), key, k).select(key, "rank", "TraceIdx", "d2")
+
+
 def _grid(points: DataFrame, traces: DataFrame, key: str, k: int, n: int) -> DataFrame:
     """Cells of a size that holds a few traces; a point looks at the 3 x 3 cells around its own.
 
-    What it finds there is certain if its k-th distance is not over the cell size, as all else is further away. The
-    others look again with cells of twice the size. Cells as large as everything are certain.
+    What it finds there is certain if its k-th distance is less than the cell size, as all else is further away. The
+    others look again with cells of GROW times the size, until FEW are left, which scan all traces.
     """
     box = traces.agg(F.min("X").alias("a"), F.max("X").alias("b"), F.min("Y").alias("c"), F.max("Y").alias("d")).first()
-    ends = points.agg(F.min("x0").alias("a"), F.max("x0").alias("b"), F.min("y0").alias("c"), F.max("y0").alias("d")).first()
-    if ends["a"] is None:
-        return points.join(traces, F.lit(False)).select(key, F.lit(0).alias("rank"), "TraceIdx", F.lit(0.0).alias("d2"))
     width, height = max(box["b"] - box["a"], 1e-9), max(box["d"] - box["c"], 1e-9)
-    extent = max(max(box["b"], ends["b"]) - min(box["a"], ends["a"]), max(box["d"], ends["d"]) - min(box["c"], ends["c"]), 1e-9)
-    size = max(math.sqrt(width * height * PER_CELL * k / n), extent / 2**30)
-    left, out = points.select(key, "x0", "y0"), None
-    while True:
-        last = size >= extent
+    size = max(math.sqrt(width * height * PER_CELL * k / n), max(width, height) / 2**30)
+    left, out = durable(points.select(key, "x0", "y0")), None
+    while left.limit(FEW + 1).count() > FEW:
         cell = lambda c, at=size: F.floor(F.col(c) / at)
         around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
         near = left.withColumn("__i", F.explode(F.transform(around, lambda d: cell("x0") + d))).withColumn("__j", F.explode(F.transform(around, lambda d: cell("y0") + d)))
         found = near.join(traces.withColumn("__i", cell("X")).withColumn("__j", cell("Y")), ["__i", "__j"]).withColumn("d2", _d2())
-        best = _ranked(found, key, k)
-        full = best.groupBy(key).agg(F.max("rank").alias("n"), F.max("d2").alias("far"))
-        sure = full.where(F.col("n") == k) if last else full.where((F.col("n") == k) & (F.col("far") < size * size))
-        done = best.join(sure.select(key), key, "left_semi").select(key, "rank", "TraceIdx", "d2")
+        best = durable(_ranked(found, key, k).select(key, "rank", "TraceIdx", "d2"))
+        sure = best.groupBy(key).agg(F.max("rank").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") < size * size)).select(key)
+        done = best.join(sure, key, "left_semi")
         out = done if out is None else out.unionByName(done)
-        if last:
-            return out
-        left = left.join(sure.select(key), key, "left_anti")
-        if left.isEmpty():
-            return out
-        size *= 2 if size * 2 < extent else extent / size + 1
+        left = durable(left.join(sure, key, "left_anti"))
+        size *= GROW
+    rest = _scan(left, traces, key, k)
+    return rest if out is None else out.unionByName(rest)
 
 
 def knn_join(points: DataFrame, traces: DataFrame, k: int = 9, key: str = "pt", strategy: str = "auto", precision: str = "float") -> DataFrame:
