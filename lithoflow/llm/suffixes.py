@@ -253,21 +253,22 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     rows = saved(plain.where(F.octet_length("t") >= WINDOW).mapInArrow(_find_anchors, _ROWS))
     weight = F.when(F.col("kind") == 1, F.lit(2)).otherwise(F.lit(1))
     first = rows.where("kind < 2").select("h", "c", *_KEY, "first", "last", "place", weight.alias("weight"))
-    by_anchor = first.groupBy("h").agg(F.sum("weight").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1").select("h", (F.col("low") == F.col("high")).alias("same"))
+    # counts are saved before they are joined back: a join of two plain shuffles can be split where an anchor is frequent
+    by_anchor = saved(first.groupBy("h").agg(F.sum("weight").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1").select("h", (F.col("low") == F.col("high")).alias("same")))
     repeated = saved(first.join(by_anchor, "h"))
     span = [*_KEY, "first", "last"]
     spans = [rows.where("kind > 0").select(*span), repeated.where("same").select(*span)]
 
     mixed = repeated.where("not same")
-    contexts = mixed.groupBy("h", "c").agg(F.sum("weight").alias("n"), F.min(F.struct(*_KEY, "first", "last", "place")).alias("one"))
+    contexts = saved(mixed.groupBy("h", "c").agg(F.sum("weight").alias("n"), F.min(F.struct(*_KEY, "first", "last", "place")).alias("one")))
     spans.append(mixed.join(contexts.where("n > 1").select("h", "c"), ["h", "c"]).select(*span))
-    open_anchors = contexts.groupBy("h").agg(F.min("n").alias("least")).where("least = 1").select("h")
+    open_anchors = saved(contexts.groupBy("h").agg(F.min("n").alias("least")).where("least = 1").select("h"))
     ones = contexts.join(open_anchors, "h").select("one.*", (F.col("n") > 1).alias("decided"))
     by_text = ones.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last", "place", "decided")).alias("listed"))
     packed = plain.where(F.octet_length("t") >= WINDOW).mapInArrow(_packed, "k1 long, k2 long, t binary")
     blocks = saved(packed.join(by_text, _KEY).select(*_KEY, "t", "listed").mapInArrow(_cut_blocks, _BLOCKS))
 
-    sizes = blocks.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.min("decided").alias("all_decided")).where("n > 1 and not all_decided").select("b1", "b2", "n")
+    sizes = saved(blocks.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.min("decided").alias("all_decided")).where("n > 1 and not all_decided").select("b1", "b2", "n"))
     met = blocks.join(sizes, ["b1", "b2"])
     columns = [f.name for f in _BLOCKS.fields]
     small = met.where(F.col("n") <= group).select(*columns).repartition("b1", "b2").sortWithinPartitions("b1", "b2")
