@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     linked = components(links(found.select("fp"), radius))
     labels = found.join(linked, found["fp"] == linked["node"], "left").select("fp", "__least", F.coalesce("component", "fp").alias("__component"))
     least = labels.groupBy("__component").agg(F.min("__least").alias("component_id"))
-    named = labels.join(least, "__component").select("fp", "component_id")
+    # kept before the last join, which then is one of two plain shuffles and can be split at frequent fingerprints
+    named = durable(labels.join(least, "__component").select("fp", "component_id"))
     return marked.join(named, "fp").select(*[F.col(f"`{k}`") for k in keep], "fp", "component_id")
 
 
