@@ -151,11 +151,7 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
         return spark.createDataFrame([], schema)
     plan = places(complete_bins(n_of, capacity))
     tasks = {n: max(RANK_TASKS, -(-c // RANK_ROWS)) for n, c in n_of.items()}
-    # the number of salts, by ranges of lengths: most lengths have RANK_TASKS
-    salts = F.lit(RANK_TASKS)
-    for n, t in tasks.items():
-        if t != RANK_TASKS:
-            salts = F.when(F.col(length) == n, F.lit(t)).otherwise(salts)
+    salts = F.element_at(F.array(*[F.lit(tasks.get(n, RANK_TASKS)) for n in range(1, capacity + 1)]), F.col(length).cast("int"))
     salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*keys), salts).cast("int"))
     before: dict[tuple[int, int], int] = {}
     run: dict[int, int] = {}
