@@ -172,3 +172,26 @@ def op9(spark, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     path = P.path("byte_bpe_50k.tiktoken")
     return read_back(format_chats(turns, path, P.PATTERN), path, P.PATTERN)
+
+
+def _escaped(x: str) -> str:
+    """SQL for the length of x with its marks escaped, two characters each."""
+    marks = [f"'{m}'" for m in MARKS] + ["chr(26)"]
+    sizes = [len(m) for m in MARKS] + [1]
+    return f"(length({x}) - " + " - ".join(f"({n - 2}) * ((length({x}) - length(replace({x}, {m}, ''))) // {n})" for m, n in zip(marks, sizes, strict=True)) + ")"
+
+
+_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+_OWN = "</s>[INST] ok [/INST]"
+OP9_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{_OWN}'), (-1, 1, 'assistant', '{_OWN}'))),
+f AS (SELECT *, {_escaped("text")} + CASE {" ".join(f"WHEN role = '{r}' THEN {len(MARKS[i]) + len(MARKS[i + 1])}" for r, i in ROLES.items())}
+        ELSE {2 * len(MARKS[8]) + len(MARKS[9])} + {_escaped("role")} END AS size FROM t)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) + {len(MARKS[0]) + len(MARKS[1])} AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""

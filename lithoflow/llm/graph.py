@@ -11,8 +11,8 @@ from lithoflow.llm.common import durable
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node of an edge the smallest node that it reaches.
 
-    Each round is kept in the shared folder. A star's centre is found by a pre-aggregated minimum and joined back, so
-    that hubs are split by skew joins and never gathered. Rows with a null end and loops name no edge; repeated edges count once.
+    Each round is kept in the shared folder. A star's centre is found by a pre-aggregated minimum, kept and joined back
+    in a join of two plain shuffles, which is split where a node is a hub; no node's edges are gathered. Rows with a null end and loops name no edge; repeated edges count once.
     No edge: an empty table.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
@@ -24,9 +24,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = durable(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     # every node hangs on its component's smallest

@@ -155,4 +155,41 @@ def quality(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "l
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), ["doc_id"])
+    columns = ["doc_id", *(n for n, _ in _FEATURES[:5]), "base_failed", "kept"]
+    return quality(table(spark, sf_dir, "documents"), ["doc_id"]).select(*columns)
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+_COUNTS = {0: "[^a-z]", 1: "[^A-Z]", 2: "[^0-9]", 3: _WORD, 4: "[^#*$%&|<>]", 6: r"[\x00-\x7F]"}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, lang FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}+') AS ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls,
+        {", ".join(f"CAST(length(regexp_replace(t, '{p}', '', 'g')) AS BIGINT) AS k{i}" for i, p in _COUNTS.items())} FROM d),
+f AS (SELECT *, CAST(len(ws) AS BIGINT) AS n_words, length(t) - k0 - k1 - k2 - k3 - k4 - k6 AS k5 FROM w),
+win AS (SELECT rid, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT rid, ws, unnest(range(1, n_words - {WINDOW - 2})) AS i FROM f WHERE n_words >= {WINDOW})),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM win) WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT i + j) AS n FROM rep, range({WINDOW}) r(j) GROUP BY rid),
+common AS (SELECT rid, x, count(*) AS n FROM (SELECT rid, unnest(regexp_extract_all(translate(t, '{_UPPER}', '{_LOWER}'), '{_WORD}+')) AS x FROM f)
+        WHERE x IN ({", ".join(f"'{x}'" for x in WORDS)}) GROUP BY rid, x),
+bins AS (SELECT rid, 1 AS kind, x AS bin, n FROM common
+        UNION ALL SELECT f.rid, 1, '', n_words - coalesce((SELECT sum(n) FROM common c WHERE c.rid = f.rid), 0) FROM f
+        {" ".join(f"UNION ALL SELECT rid, 0, '{i}', k{i} FROM f" for i in range(CLASSES))}),
+p AS (SELECT rid, kind, bin, n / sum(n) OVER (PARTITION BY rid, kind) AS p FROM bins WHERE n > 0),
+q AS (SELECT lang, kind, bin, n / sum(n) OVER (PARTITION BY lang, kind) AS q
+      FROM (SELECT lang, kind, bin, sum(n) AS n FROM bins JOIN d USING (rid) WHERE lang IN ({", ".join(f"'{x}'" for x in COMMON)}) GROUP BY lang, kind, bin)),
+langs AS (SELECT DISTINCT lang FROM q),
+js AS (SELECT p.rid, p.kind, l.lang,
+        sum(p * log2(2 * p / (p + coalesce(q, 0)))) + sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + 1 - sum(coalesce(q, 0)) AS twice
+      FROM p CROSS JOIN langs l LEFT JOIN q ON q.lang = l.lang AND q.kind = p.kind AND q.bin = p.bin GROUP BY p.rid, p.kind, l.lang),
+far AS (SELECT rid, kind, sqrt(greatest(0, min(twice) / 2)) AS far FROM js GROUP BY rid, kind),
+out AS (SELECT doc_id, n_words, length(t) - k3 AS word_chars, k4 AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, coalesce(a.far, 0) AS fc, coalesce(b.far, 0) AS fw
+      FROM f LEFT JOIN cov USING (rid) LEFT JOIN far a ON a.rid = f.rid AND a.kind = 0 LEFT JOIN far b ON b.rid = f.rid AND b.kind = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words)
+    AND NOT (n_words >= {MIN_WORDS_CLASSES} AND fc > {MAX_CLASSES} OR n_words >= {MIN_WORDS_COMMON} AND fw > {MAX_COMMON}) AS kept
+FROM out
+"""

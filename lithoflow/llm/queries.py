@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_top_k": topk.OP10_SQL}
+    return {"op1_distribution_divergence": quality.OP1_SQL, "op9_chat_format": chat.OP9_SQL, "op10_exact_top_k": topk.OP10_SQL}
