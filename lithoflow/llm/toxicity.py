@@ -24,6 +24,8 @@ from lithoflow.llm.langid import held_out
 ORDER, DECAY = 4, 0.8
 #: Landmarks, their shortest and longest length, and the length from which a word may lack one of a landmark's letters; else its kernel counts as zero.
 LANDMARKS, SHORTEST, LONGEST, LACK = 40, 4, 10, 7
+#: Letters that may be inserted into a landmark shorter than that.
+SLACK = 3
 #: Chance pieces that may be among the landmarks, in expectation, if labels were dealt out at random, and pieces then reckoned with.
 CHANCE = 0.2
 PIECES = 100_000
@@ -108,6 +110,21 @@ def common_letters(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.bitwise_count(here)
 
 
+def shortest_span(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Letters of s[i] from the first to the last of t[i]'s letters in order, where they stand closest; 1,000 if s[i] lacks some."""
+    n, k = t.shape
+    last = (t != 0).sum(1) - 1
+    begun = np.full((n, k), -1000)  # where the letters so far began, latest first
+    best = np.full(n, 1000)
+    for a in range(s.shape[1]):
+        same = (t == s[:, a, None]) & (t != 0)
+        begun[:, 1:] = np.where(same[:, 1:], begun[:, :-1], begun[:, 1:])
+        begun[same[:, 0], 0] = a
+        ends = same[np.arange(n), last]
+        best = np.where(ends, np.minimum(best, a + 1 - begun[np.arange(n), last]), best)
+    return np.minimum(best, 1000)
+
+
 class Landmarks:
     def __init__(self, names: list[str]):
         self.names = names
@@ -115,6 +132,7 @@ class Landmarks:
         self.bits = _bits(self.codes)
         own = kernel_pairs(self.codes, self.codes)
         self.own = own
+        self.length = np.array([len(x) for x in names], int)
         self.gate = np.array([len(x) - (len(x) >= LACK) for x in names], int)
         # so many different letters must be common at least
         self.least = np.bitwise_count(self.bits).astype(int) - np.array([len(x) for x in names], int) + self.gate
@@ -147,6 +165,9 @@ class Landmarks:
             codes = _codes([pieces[x] for x in r.tolist()], int(lengths[r].max()))
             near = common_letters(codes, self.codes[c]) >= self.gate[c]
             r, c, codes = r[near], c[near], codes[near]
+            # a short landmark's letters must stand close
+            near = (self.length[c] >= LACK) | (shortest_span(codes, self.codes[c]) <= self.length[c] + SLACK)
+            r, c, codes = r[near], c[near], codes[near]
             value = kernel_pairs(codes, self.codes[c]) / self.own[c]
             np.maximum.at(out, (of[r], c), value)
         return out

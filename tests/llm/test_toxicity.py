@@ -28,6 +28,9 @@ def test_kernel_and_common_letters():
     s, t = X._codes([a for a, _ in pairs], 11), X._codes([b for _, b in pairs], 8)
     assert np.allclose(X.kernel_pairs(s, t), [brute(a, b) for a, b in pairs])
     assert X.common_letters(s, t).tolist() == [lcs(a, b) for a, b in pairs]
+    spans = [min((j - i for i in range(len(a)) for j in range(i + 1, len(a) + 1) if b and lcs(a[i:j], b) == len(b)), default=1000) for a, b in pairs if b]
+    full = [k for k, (_, b) in enumerate(pairs) if b]
+    assert X.shortest_span(s[full], t[full]).tolist() == spans
 
 
 def sample(seed, n):
