@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lithoflow.durable import durable
+
+__all__ = ["CHUNK_BYTES", "Memo", "chunks", "durable", "map_texts", "saved", "shared_dir", "table"]
+
 #: Text that one call of a row function gets at most, unless a single text is longer.
 CHUNK_BYTES = 8 << 20
 
@@ -34,14 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at.get()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, so that a lost executor costs no recomputation of what is before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def saved(df: DataFrame) -> DataFrame:
-    """As durable, in Parquet: columns can be pruned and are compressed."""
+    """As durable, in Parquet: columns can be pruned and are compressed. The files stay in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/lithoflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -89,10 +87,6 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
-def empty_like(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)
-
-
 class Memo:
     """A memo of bounded size: `known` becomes `older` at `most` entries; entries come back from there when used."""
 
