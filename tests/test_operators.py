@@ -160,3 +160,25 @@ def test_folders_and_curves(spark, tmp_path):
     (tmp_path / "测井" / "a.las").write_text("~C\nAC.X\nGR.Y\n")
     roster, facts = W.curve_facts(spark, str(tmp_path / "测井"))
     assert {tuple(r) for r in presence_matrix(roster, facts, "file", "curve").collect()} == {("a.las", 1, 1), ("b.las", 0, 0)}
+
+
+def test_frames_of_wells(spark, tmp_path):
+    from lithoflow.plans import frames as P
+
+    dept, gr, img = ("DEPT", 7, [1], None, "m"), ("GR", 2, [1], "Gamma", "gAPI"), ("IMG", 16, [2], None, None)
+    for name in ("w1", "w2"):
+        (tmp_path / name).mkdir()
+    encoders.dlis(str(tmp_path / "w1" / "a.dlis"), [[("F1", [dept, img], [[1.0, [1, 2]]])]])
+    encoders.dlis(str(tmp_path / "w1" / "b.DLIS"), [[("F1", [("DEPT", 7, [1], "Depth", "ft"), gr], [[2.0, 0.5], [3.0, 1.5]])]])
+    encoders.dlis(str(tmp_path / "w2" / "c.dlis"), [[("F2", [img], [[[1, 2]]])]])
+    (tmp_path / "w2" / "no.txt").write_text("x")
+    wells = {"w1": str(tmp_path / "w1"), "w2": str(tmp_path / "w2")}
+    dictionary, matrix = P.export_channels(spark, wells, str(tmp_path / "d.csv"), str(tmp_path / "m.csv"))
+    rows = lambda p: list(csv.reader(open(p, encoding="utf-8-sig")))
+    assert rows(dictionary) == [["Channel Name", "Long Name", "Unit"], ["DEPT", "", "m"], ["GR", "Gamma", "gAPI"]]
+    assert rows(matrix) == [["Well_Frame Name", "DEPT", "GR"], ["w1_F1", "1", "1"]]
+    out = P.export_frames(spark, wells, str(tmp_path / "out"))
+    tables = {os.path.relpath(p, tmp_path / "out"): sorted(map(tuple, spark.read.csv(p, header=True, inferSchema=True).collect())) for p in out if not p.endswith("F2")}
+    assert tables == {"w1/a/0/F1": [(1, 1.0)], "w1/b/0/F1": [(1, 2.0, 0.5), (2, 3.0, 1.5)]}
+    assert any(p.endswith("w2/c/0/F2") for p in out)
+    assert P.well_channels(spark, {}).count() == 0
