@@ -20,6 +20,8 @@ MARKS = ("<s>", "</s>", "[SYSTEM]", "[/SYSTEM]", "[INST]", "[/INST]", "[ASSISTAN
 ROLES = {"system": 2, "user": 4, "assistant": 6}
 #: The character that introduces an escape.
 ESC = "\x1a"
+#: Ids of a conversation that one row holds, but for a turn that is longer by itself.
+PART_IDS = 1 << 18
 _CONTROL = re.compile("|".join(map(re.escape, (ESC, *MARKS))))
 _ESCAPED = re.compile(f"{ESC}(.)", re.S)
 _CODES = "".join(chr(ord("A") + i) for i in range(len(MARKS) + 1))
@@ -82,16 +84,26 @@ def read_turns(encoding, first: int, ids: np.ndarray):
             open_at = None
 
 
-_TURNS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("n_turns", T.LongType()), T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("loss_mask", T.ArrayType(T.BooleanType()))])
+_TURNS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("n_turns", T.LongType()), T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("loss_mask", T.ArrayType(T.BooleanType()))])
 _DIGEST = [("n_turns", "long"), ("turns_sha256", "string"), ("loss_chars", "long"), ("loss_sha256", "string"), ("formatted_chars", "long")]
 
 
-def format_chats(turns: DataFrame, path: str, pattern: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, n_turns, input_ids, loss_mask), one row per conversation, its rows in order of turn.
+def _runs_of(frames, names: list[str]):
+    """(key, values) of each row in turn; a key of one element, so that null ids are told apart from no id."""
+    import pandas as pd
 
-    Rows are encoded before they are grouped. Equal turns go by role and then text; repeated rows are turns each; null
-    turns come first; null texts and roles are empty; rows without a conversation id form one of their own. Further
-    columns don't matter. No rows: an empty table.
+    for frame in frames:
+        for c, *values in zip(frame["conv_id"], *(frame[n] for n in names), strict=True):
+            yield (None if pd.isna(c) else int(c),), values
+
+
+def format_chats(turns: DataFrame, path: str, pattern: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_ids: int = PART_IDS) -> DataFrame:
+    """(conv_id, part, n_turns, input_ids, loss_mask): a conversation's rows in order of turn.
+
+    Rows are encoded before they are grouped. A conversation of more than part_ids ids is cut between turns into parts,
+    numbered from 0, so that no task holds more of it; most have one part. Equal turns go by role and then text;
+    repeated rows are turns each; null turns come first; null texts and roles are empty; rows without a conversation id form
+    one of their own. Further columns don't matter. No rows: an empty table.
     """
     rows = turns.select(
         F.col(f"`{conv}`").cast("long").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
@@ -107,61 +119,93 @@ def format_chats(turns: DataFrame, path: str, pattern: str, conv: str = "conv_id
             yield frame
 
     def assemble(frames):
-        """Of rows in order: nothing but the conversation at hand is held."""
+        """Of rows in order: nothing but the part at hand is held, and finished parts up to part_ids."""
         import pandas as pd
 
         _, first = _encoding(path, pattern)
-        now, parts, stretches = None, [], []
-
-        def done():
-            ids = np.concatenate([[first], *parts, [first + 1]]).astype(np.int32)
-            mask = masked([(1, 0), *stretches, (1, 0)])
-            return {"conv_id": now[0], "n_turns": len(parts), "input_ids": ids, "loss_mask": mask}
-
-        for frame in frames:
-            out = []
-            for c, r, data, head in zip(frame["conv_id"], frame["role"], frame["ids"], frame["head"], strict=True):
-                key = (None if pd.isna(c) else int(c),)
-                if key != now and now is not None:
-                    out.append(done())
-                    parts, stretches = [], []
-                now = key
-                ids = np.frombuffer(data, "<u4")
-                parts.append(ids)
-                stretches += [(head, 0), (len(ids) - head - 1, int(r == "assistant")), (1, 0)]
-            if out:
-                yield pd.DataFrame(out).astype({"conv_id": "Int64"})
+        now, number, parts, stretches, size = None, 0, [], [], 0
+        ready, waiting = [], 0
+
+        def close(last: bool) -> None:
+            nonlocal number, parts, stretches, size, waiting
+            ends = ([[first]] if number == 0 else []), ([[first + 1]] if last else [])
+            ids = np.concatenate([*ends[0], *parts, *ends[1]]).astype(np.int32)
+            mask = masked([(1, 0)] * len(ends[0]) + stretches + [(1, 0)] * len(ends[1]))
+            ready.append({"conv_id": now[0], "part": number, "n_turns": len(parts), "input_ids": ids, "loss_mask": mask})
+            number, waiting, parts, stretches, size = number + 1, waiting + len(ids), [], [], 0
+
+        def made():
+            nonlocal ready, waiting
+            out, ready, waiting = ready, [], 0
+            return pd.DataFrame(out).astype({"conv_id": "Int64"})
+
+        for key, (r, data, head) in _runs_of(frames, ["role", "ids", "head"]):
+            if key != now:
+                if now is not None:
+                    close(True)
+                now, number = key, 0
+            elif size >= part_ids:
+                close(False)
+            if waiting >= part_ids:
+                yield made()
+            ids = np.frombuffer(data, "<u4")
+            parts.append(ids)
+            size += len(ids)
+            stretches += [(head, 0), (len(ids) - head - 1, int(r == "assistant")), (1, 0)]
         if now is not None:
-            yield pd.DataFrame([done()]).astype({"conv_id": "Int64"})
+            close(True)
+            yield made()
 
     encoded = rows.mapInPandas(encode, coded)
     ordered = encoded.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text").select("conv_id", "role", "ids", "head")
     return ordered.mapInPandas(assemble, _TURNS)
 
 
-def read_back(chats: DataFrame, path: str, pattern: str) -> DataFrame:
-    """conv_id and digests of roles, texts and masked texts, all read from input_ids and loss_mask."""
+def read_back(chats: DataFrame, path: str, pattern: str, in_order: bool = False) -> DataFrame:
+    """conv_id and digests of roles, texts and masked texts, all read from input_ids and loss_mask, part by part.
+
+    in_order: the parts of a conversation follow each other, as format_chats leaves them; else they are put in order.
+    """
     schema = "conv_id long, " + ", ".join(f"{n} {t}" for n, t in _DIGEST)
 
     def read(frames):
         import pandas as pd
 
         encoding, first = _encoding(path, pattern)
-        for frame in frames:
-            out = []
-            for c, ids, mask in zip(frame["conv_id"], frame["input_ids"], frame["loss_mask"], strict=True):
-                ids, mask = np.asarray(ids), np.asarray(mask, bool)
-                turns, n = hashlib.sha256(), 0
-                for role, text, _, _ in read_turns(encoding, first, ids):
-                    turns.update(f"{role}\n{text}\n".encode())
-                    n += 1
-                # maximal runs under the mask, each a text of its own
-                edges = np.nonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))[0]
-                loss = "".join(unescape(encoding.decode(ids[a:b].tolist())) for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((c, n, turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(encoding.decode(ids.tolist()))))
-            yield pd.DataFrame(out, columns=["conv_id", *(n for n, _ in _DIGEST)]).astype({"conv_id": "Int64"})
-
-    return chats.mapInPandas(read, schema)
+        now, out = None, []
+        turns = loss = None
+        n = loss_chars = size = 0
+
+        def done():
+            out.append((now[0], n, turns.hexdigest(), loss_chars, loss.hexdigest(), size))
+
+        for key, (ids, mask) in _runs_of(frames, ["input_ids", "loss_mask"]):
+            if key != now:
+                if now is not None:
+                    done()
+                now, turns, loss, n, loss_chars, size = key, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+                if len(out) >= 1000:
+                    yield pd.DataFrame(out, columns=["conv_id", *(x for x, _ in _DIGEST)]).astype({"conv_id": "Int64"})
+                    out = []
+            ids, mask = np.asarray(ids), np.asarray(mask, bool)
+            for role, text, _, _ in read_turns(encoding, first, ids):
+                turns.update(f"{role}\n{text}\n".encode())
+                n += 1
+            # maximal runs under the mask, each a text of its own
+            edges = np.nonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))[0]
+            for a, b in zip(edges[::2], edges[1::2], strict=True):
+                learned = unescape(encoding.decode(ids[a:b].tolist()))
+                loss.update(learned.encode())
+                loss_chars += len(learned)
+            size += len(encoding.decode(ids.tolist()))
+        if now is not None:
+            done()
+        if out:
+            yield pd.DataFrame(out, columns=["conv_id", *(x for x, _ in _DIGEST)]).astype({"conv_id": "Int64"})
+
+    if not in_order:
+        chats = chats.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return chats.select("conv_id", "input_ids", "loss_mask").mapInPandas(read, schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -171,7 +215,7 @@ def op9(spark, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     path = P.path("byte_bpe_50k.tiktoken")
-    return read_back(format_chats(turns, path, P.PATTERN), path, P.PATTERN)
+    return read_back(format_chats(turns, path, P.PATTERN), path, P.PATTERN, in_order=True)
 
 
 def _escaped(x: str) -> str:

@@ -52,8 +52,13 @@ def test_mask_covers_assistant_texts_alone(spark):
 def test_long_conversation_and_empty_table(spark):
     n = 3000
     frame = spark.range(n).selectExpr("1 as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('turn ', id) as text")
-    r = C.read_back(C.format_chats(frame, PATH, P.PATTERN), PATH, P.PATTERN).first()
-    assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == digests([(["user", "assistant"][i % 2], f"turn {i}") for i in range(n)])
+    want = digests([(["user", "assistant"][i % 2], f"turn {i}") for i in range(n)])
+    whole = C.format_chats(frame, PATH, P.PATTERN)
+    parts = C.format_chats(frame, PATH, P.PATTERN, part_ids=100)
+    assert whole.count() == 1 and parts.count() > 100
+    assert parts.agg({"n_turns": "sum"}).first()[0] == n and {r["part"] for r in parts.collect()} == set(range(parts.count()))
+    for r in (C.read_back(whole, PATH, P.PATTERN).first(), C.read_back(parts, PATH, P.PATTERN, in_order=True).first(), C.read_back(parts.repartition(7), PATH, P.PATTERN).first()):
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == want
     assert C.read_back(C.format_chats(spark.createDataFrame([], SCHEMA), PATH, P.PATTERN), PATH, P.PATTERN).count() == 0
 
 
