@@ -37,8 +37,8 @@ WIDTH = 32
 SKETCH = 4
 #: Part of a landmark's own kernel that makes a toxic text's sentence a labelled one.
 WITNESS = 0.4
-#: Labelled texts of either class that the classifier is fitted to at most.
-SAMPLE = 1500
+#: Labelled texts of either class that the classifier is fitted to at most, and code points that a text for it may have.
+SAMPLE, SAMPLE_TEXT = 1500, 30_000
 #: Words whose margins a worker remembers, and texts' words that go through the kernel at a time.
 WORDS = 300_000
 THRESHOLD = 0.7
@@ -354,12 +354,13 @@ def scorer(model: Model):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fits a model to at most `sample` labelled texts of either class, chosen by a hash of their ids; more are not needed, fewer are all used.
 
-    The labels are chosen first, so that only the chosen texts are read to the driver. Rows with a null id, label or text teach nothing.
+    The labels are chosen first, so that only the chosen texts are read to the driver; of those, texts of more than
+    SAMPLE_TEXT code points are left out. Rows with a null id, label or text teach nothing.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label) > 0).cast("int").alias("__y"))
     parts = [marked.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * sample rows
-    rows = docs.join(chosen, docs[id_col] == chosen["__id"]).where(F.col(text).isNotNull()).select("__id", F.col(text).cast("string").alias("__t"), "__y").toPandas()
+    rows = docs.join(chosen, docs[id_col] == chosen["__id"]).where(F.col(text).isNotNull() & (F.length(F.col(text).cast("string")) <= SAMPLE_TEXT)).select("__id", F.col(text).cast("string").alias("__t"), "__y").toPandas()
     rows = rows.sort_values(["__id", "__t"], kind="stable").drop_duplicates(["__id"])
     return fit(rows["__t"].tolist(), rows["__y"].tolist())
 
