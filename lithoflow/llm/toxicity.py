@@ -25,20 +25,24 @@ ORDER, DECAY = 4, 0.8
 #: Landmarks, their shortest and longest length, and the length from which a word may lack one of a landmark's letters; else its kernel counts as zero.
 LANDMARKS, SHORTEST, LONGEST, LACK = 40, 4, 10, 7
 #: Letters that may be inserted into a landmark shorter than that.
-SLACK = 3
+SLACK = 2
 #: Chance pieces that may be among the landmarks, in expectation, if labels were dealt out at random, and pieces then reckoned with.
 CHANCE = 0.2
 PIECES = 100_000
-#: Rate in clean texts, as a part of that in toxic ones, that a landmark may have.
-RARE = 0.004
+#: Rate in clean texts, as a part of that in toxic ones, that a landmark may have; and from which on it must begin words.
+RARE, INSIDE = 0.2, 0.004
+#: Stands before each word's first letter, so that a landmark can be a word's beginning.
+MARK = "\x02"
 #: Letters of a word that are compared at a time; longer ones go window by window, half overlapping.
 WIDTH = 32
 #: Least word hashes by which copies among the labelled texts are told.
 SKETCH = 4
-#: Part of a landmark's own kernel that makes a toxic text's sentence a labelled one.
-WITNESS = 0.4
+#: Part of a landmark's own kernel that makes a toxic text's sentence a labelled one, and that makes it a text by itself.
+WITNESS, ALONE = 0.4, 0.75
 #: Labelled texts of either class that the classifier is fitted to at most, and code points that a text for it may have.
 SAMPLE, SAMPLE_TEXT = 1500, 30_000
+#: Shrinkage of the curve that turns margins into scores.
+SHRINK = 1e-4
 #: Words whose margins a worker remembers, and texts' words that go through the kernel at a time.
 WORDS = 300_000
 THRESHOLD = 0.7
@@ -133,6 +137,7 @@ class Landmarks:
         own = kernel_pairs(self.codes, self.codes)
         self.own = own
         self.length = np.array([len(x) for x in names], int)
+        self.marked = np.array([x.startswith(MARK) for x in names], bool)
         self.gate = np.array([len(x) - (len(x) >= LACK) for x in names], int)
         # so many different letters must be common at least
         self.least = np.bitwise_count(self.bits).astype(int) - np.array([len(x) for x in names], int) + self.gate
@@ -147,6 +152,7 @@ class Landmarks:
         out = np.zeros((len(words), len(self.names)))
         pieces, of = [], []
         for i, w in enumerate(words):
+            w = MARK + w
             for a in range(0, max(1, len(w) - WIDTH // 2), WIDTH // 2):
                 pieces.append(w[a : a + WIDTH])
                 of.append(i)
@@ -165,61 +171,73 @@ class Landmarks:
             codes = _codes([pieces[x] for x in r.tolist()], int(lengths[r].max()))
             near = common_letters(codes, self.codes[c]) >= self.gate[c]
             r, c, codes = r[near], c[near], codes[near]
-            # a short landmark's letters must stand close
-            near = (self.length[c] >= LACK) | (shortest_span(codes, self.codes[c]) <= self.length[c] + SLACK)
+            # the letters of a short landmark, and of a word's beginning, must stand close; a beginning's first letter is the word's
+            marked = self.marked[c]
+            near = (self.length[c] >= LACK) & ~marked | (shortest_span(codes, self.codes[c]) <= self.length[c] + SLACK)
+            near &= ~marked | (codes[:, 1] == self.codes[c][:, 1])
             r, c, codes = r[near], c[near], codes[near]
             value = kernel_pairs(codes, self.codes[c]) / self.own[c]
             np.maximum.at(out, (of[r], c), value)
         return out
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int = LANDMARKS) -> list[str]:
+def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int = LANDMARKS) -> dict[str, bool]:
     """Pieces of words that speak for label 1 beyond chance, those of the most toxic texts first.
 
-    A piece in k toxic texts and no clean one has by chance the probability share ** k; that times PIECES must stay
-    under CHANCE. It may be in clean texts at RARE of its rate in toxic ones. Words that hold a landmark are explained:
-    another piece needs other words. Of pieces of a word that about the same texts hold, the longest is taken.
-    Pieces are counted length by length; a longer one needs both its shorter ones.
+    Of n texts with a piece k are toxic; by chance that has at most the probability exp(-n KL(k/n, share of toxic
+    texts)), which times PIECES must stay under CHANCE. A piece may be in clean texts at RARE of its rate in toxic ones, one from a word's
+    inside at INSIDE only. Words that hold a landmark are explained: another piece needs other words. Of pieces of a
+    word that about the same texts hold, the longest is taken. Pieces are counted length by length; a longer one needs both its shorter ones.
+    Each comes with whether it is pure: in clean texts at INSIDE of its rate in toxic ones at most.
     """
     share = len(toxic) / (len(toxic) + len(clean))
-    least = max(3, math.ceil(math.log(CHANCE / PIECES) / math.log(share)))
-    words = {w[:WIDTH] for mine in (*toxic, *clean) for w in mine if len(w) >= SHORTEST}
+    need = math.log(PIECES / CHANCE)
+    least = max(3, math.ceil(-need / math.log(share)))
+    words = {(MARK + w)[:WIDTH] for mine in (*toxic, *clean) for w in mine}
     support: dict[str, int] = {}
     rate: dict[str, float] = {}
     below: dict[str, int] | None = None
     for n in range(SHORTEST, LONGEST + 1):
+        words = {w for w in words if len(w) >= n}
         of_word = {}
         for w in words:
             found = [w[a : a + n] for a in range(len(w) - n + 1)]
-            of_word[w] = {p for p in found if (p.isalpha() if below is None else p[1:] in below and p[:-1] in below)}
-        counted = Counter(p for mine in toxic for p in set().union(*[of_word[w[:WIDTH]] for w in mine if w[:WIDTH] in of_word]))
-        below = {p: k for p, k in counted.items() if k >= least}
-        against = Counter(p for mine in clean for p in set().union(*[of_word[w[:WIDTH]] for w in mine if w[:WIDTH] in of_word]) if p in below)
+            of_word[w] = {p for p in found if (p.lstrip(MARK).isalpha() if below is None else p[1:] in below and p[:-1] in below)}
+        counts = lambda texts: Counter(p for mine in texts for p in set().union(*[of_word.get((MARK + w)[:WIDTH], ()) for w in mine]))  # noqa: B023, E731
+        below = {p: k for p, k in counts(toxic).items() if k >= least}
+        against = counts(clean)
         for p, k in below.items():
-            if (r := against[p] / len(clean) / (k / len(toxic))) < RARE:
+            c = against[p]
+            r = c / len(clean) / (k / len(toxic))
+            part = k / (k + c)
+            sure = (k + c) * (part * math.log(part / share) + ((1 - part) * math.log((1 - part) / (1 - share)) if c else 0.0))
+            if len(p.lstrip(MARK)) >= SHORTEST and part > share and sure >= need and r < (RARE if p.startswith(MARK) else INSIDE):
                 support[p], rate[p] = k, r
-        words = {w for w in words if len(w) > n and of_word[w]}
+        words = {w for w in words if of_word[w]}
     texts_of: dict[str, set[int]] = {}
     holders: dict[str, set[str]] = {p: set() for p in support}
     for i, mine in enumerate(toxic):
         for w in mine:
-            held = [p for n in range(SHORTEST, LONGEST + 1) for a in range(len(w) - n + 1) if (p := w[a : a + n]) in support]
+            m = (MARK + w)[:WIDTH]
+            held = {p for n in range(SHORTEST, LONGEST + 1) for a in range(len(m) - n + 1) if (p := m[a : a + n]) in support}
             if held:
                 texts_of.setdefault(w, set()).add(i)
                 for p in held:
                     holders[p].add(w)
     out: list[str] = []
     explained: set[str] = set()
-    for p in sorted(support, key=lambda p: (-support[p] * (1 - rate[p]), -len(p), p)):
+    # of a piece with and without the mark the one without, which is found inside words too
+    for p in sorted(support, key=lambda p: (-support[p] * (1 - rate[p]), p.startswith(MARK), -len(p), p)):
         left = holders[p] - explained
         if len(set().union(*[texts_of[w] for w in left])) < least:
             continue
-        best = max((q for q in support if p in q and support[q] > 0.85 * support[p]), key=lambda q: (len(q), support[q], q))
+        longer = (q for q in support if p in q and support[q] > 0.85 * support[p] and q.startswith(MARK) == p.startswith(MARK))
+        best = max(longer, key=lambda q: (len(q), support[q], q))
         out.append(best)
         explained |= holders[best] | holders[p]
         if len(out) == count:
             break
-    return out
+    return {p: rate[p] < INSIDE for p in out}
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, steps: int = 2000) -> tuple[np.ndarray, float]:
@@ -241,18 +259,35 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, steps: int = 2000) -> t
 
 
 class Model:
-    """Margin of a sentence: the sum of its words' margins and a constant; a text has its greatest sentence's."""
+    """Margin of a sentence: the sum of its words' margins and a constant. A text's score is a logistic curve of its
+    greatest sentence's margin, the logarithm of all its words' positive margins together, and the nearest that a word
+    comes to a pure landmark."""
 
-    def __init__(self, names: list[str], weights: np.ndarray, constant: float, slope: float = 1.0, shift: float = 0.0):
-        self.marks, self.weights, self.constant, self.slope, self.shift = Landmarks(names) if names else None, weights, constant, slope, shift
+    def __init__(self, names: dict[str, bool], weights: np.ndarray, constant: float, curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)):
+        self.marks, self.weights, self.constant, self.curve = Landmarks(list(names)) if names else None, weights, constant, curve
+        self.pure = np.array(list(names.values()), float)
 
-    def word_margins(self, words: list[str]) -> list[float]:
+    def word_values(self, words: list[str]) -> list[tuple[float, float]]:
+        """Each word's margin, and its kernel with the nearest pure landmark as part of that landmark's own, one at most."""
         if self.marks is None:
-            return [0.0] * len(words)
-        return (self.marks.columns(words) @ self.weights).tolist()
-
-    def probability(self, margin: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * margin + self.shift))))
+            return [(0.0, 0.0)] * len(words)
+        columns = self.marks.columns(words)
+        return list(zip((columns @ self.weights).tolist(), np.minimum(1, columns * self.pure).max(1, initial=0).tolist(), strict=True))
+
+    def measure(self, text: str, known: dict[str, tuple[float, float]]) -> tuple[float, float, float]:
+        """What the curve takes of a plain text."""
+        best, evidence, pure = self.constant, 0.0, 0.0
+        if any([known[w][0] for w in set(words_of(text))]):
+            for s in sentences(text):
+                values = [known[w] for w in words_of(s)]
+                best = max(best, self.constant + sum([v for v, _ in values]))
+                evidence += sum([v for v, _ in values if v > 0])
+                pure = max([pure, *[p for _, p in values]])
+        return best, math.log1p(evidence), pure
+
+    def probability(self, measured: tuple[float, float, float]) -> float:
+        z = sum(a * x for a, x in zip(self.curve, (*measured, 1.0), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def _one_of_copies(texts: list[str], words: list[set[str]], labels: list[int]) -> tuple[list[str], list[set[str]], list[int]]:
@@ -277,10 +312,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     texts, words, labels = _one_of_copies(texts, words, labels)
     toxic, clean = [w for w, y in zip(words, labels, strict=True) if y], [w for w, y in zip(words, labels, strict=True) if not y]
     share = (len(toxic) + 1) / (len(texts) + 2)
-    names = choose_landmarks(toxic, clean) if toxic and clean else []
+    names = choose_landmarks(toxic, clean) if toxic and clean else {}
     if not names:
-        return Model([], np.zeros(0), 0.0, 0.0, math.log(share / (1 - share)))
-    marks = Landmarks(names)
+        return Model({}, np.zeros(0), 0.0, (0.0, 0.0, 0.0, math.log(share / (1 - share))))
+    marks = Landmarks(list(names))
     known = sorted(set().union(*words)) or [""]
     place = {w: i for i, w in enumerate(known)}
     columns = marks.columns(known)
@@ -308,44 +343,44 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         use = np.concatenate([witness, against[touched], against[~touched][:2000]])
         w, constant = svm(x[use], y[use])
         margin = x @ w + constant
-    top = np.full(len(texts), -np.inf)
-    np.maximum.at(top, doc_of, margin)
-    slope, shift = 1.0, 0.0
-    target = np.array(labels, float)
-    # Platt's curve on the texts' margins, both classes weighed alike
-    weight = np.where(target > 0, 0.5 / target.sum(), 0.5 / (1 - target).sum())
+    model = Model(names, root @ w, constant)
+    value = dict(zip(known, model.word_values(known), strict=True))
+    measure = lambda t: model.measure(t, {v: value[v.strip(_EDGE)] for v in words_of(t)})
+    # a logistic curve, classes weighed alike, by Newton's steps with a little shrinkage; toxic sentences near a pure
+    # landmark are texts too, so that one such word is enough
+    alone = [m for t, y in zip(texts, labels, strict=True) if y for s in sentences(t) if (m := measure(s))[2] >= ALONE]
+    x2 = np.array([measure(t) for t in texts] + alone)
+    x2 = np.hstack([x2, np.ones((len(x2), 1))])
+    target = np.array([*labels, *[1] * len(alone)], float)
+    whole = np.arange(len(target)) < len(texts)
+    weight = np.where(target > 0, np.where(whole, 0.5 / max(1, sum(labels)), 0.5 / max(1, len(alone))), 0.5 / (1 - target).sum())
     soft = np.where(target > 0, (target.sum() + 1) / (target.sum() + 2), 1 / ((1 - target).sum() + 2))
+    curve = np.zeros(4)
     for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(slope * top + shift, -30, 30)))
-        g = np.array([(weight * (p - soft) * top).sum(), (weight * (p - soft)).sum()])
-        h = weight * p * (1 - p) + 1e-9
-        hess = np.array([[(h * top * top).sum() + 1e-4, (h * top).sum()], [(h * top).sum(), h.sum() + 1e-4]])
-        step = np.linalg.solve(hess, g)
-        slope, shift = slope - step[0], shift - step[1]
+        p = 1 / (1 + np.exp(-np.clip(x2 @ curve, -30, 30)))
+        grad = x2.T @ (weight * (p - soft)) + SHRINK * curve
+        hess = (x2 * (weight * p * (1 - p))[:, None]).T @ x2 + SHRINK * np.eye(4)
+        step = np.linalg.solve(hess, grad)
+        curve = curve - step
         if np.abs(step).max() < 1e-8:
             break
-    return Model(names, root @ w, constant, slope, shift)
+    model.curve = tuple(curve.tolist())
+    return model
 
 
 def scorer(model: Model):
     memo = Memo(WORDS)
 
-    def margins(new: list[str]) -> list[float]:
+    def values(new: list[str]) -> list[tuple[float, float]]:
         bare = [w.strip(_EDGE) for w in new]
         different = sorted(set(bare))
-        value = dict(zip(different, model.word_margins(different), strict=True))
+        value = dict(zip(different, model.word_values(different), strict=True))
         return [value[b] for b in bare]
 
     def score(texts: list[bytes | None]):
         clear = [plain((t or b"").decode("utf-8", "replace")) for t in texts]
-        words = [set(words_of(t)) for t in clear]
-        known = memo.fill(set().union(*words), margins)
-        out = []
-        for t, mine in zip(clear, words, strict=True):
-            best = model.constant
-            if any([known[w] for w in mine]):
-                best = max([best, *(model.constant + sum([known[w] for w in words_of(s)]) for s in sentences(t))])
-            out.append(model.probability(best))
+        known = memo.fill(set().union(*[words_of(t) for t in clear]), values)
+        out = [model.probability(model.measure(t, known)) for t in clear]
         return [out, [int(p >= THRESHOLD) for p in out]]
 
     return score
