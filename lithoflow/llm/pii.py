@@ -125,8 +125,8 @@ def _labelled(kind: str, text: Column, spans: Column, base: bool) -> Column:
     return F.transform(spans, made)
 
 
-def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep's columns and spans: base spans and wider candidates with their votes, one array a row, without a shuffle."""
+def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = None, out_col: str = "spans") -> DataFrame:
+    """keep's columns and out_col: base spans and wider candidates with their votes, one array a row, without a shuffle."""
     keep = docs.columns if keep is None else keep
     t = F.col("__text")
     out = docs.select(*[F.col(f"`{k}`") for k in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
@@ -143,7 +143,7 @@ def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     out = out.select(*[F.col(f"`{k}`") for k in keep], F.concat(*made).alias("__all"))
     # a wider candidate that overlaps a base span of any kind is that span
     free = F.filter("__all", lambda s: s["base"] | ~F.exists(F.filter("__all", lambda b: b["base"]), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return out.select(*[F.col(f"`{k}`") for k in keep], free.alias("spans"))
+    return out.select(*[F.col(f"`{k}`") for k in keep], free.alias(out_col))
 
 
 def estimate(patterns: list[tuple[int, tuple[int, ...], int]], iterations: int = ITERATIONS) -> dict[tuple[int, tuple[int, ...]], float]:
@@ -188,15 +188,15 @@ def train(patterns: list[tuple[int, tuple[int, ...], int]], post: dict, steps: i
     return out
 
 
-def fit(found: DataFrame) -> list[list[float]]:
+def fit(found: DataFrame, spans: str = "spans") -> list[list[float]]:
     """The classifier's weights from all candidates' vote patterns."""
-    one = found.select(F.explode("spans").alias("s"))
+    one = found.select(F.explode(spans).alias("s"))
     rows = one.groupBy("s.kind", *[f"s.{n}" for n in LABELERS]).count().collect()
     patterns = sorted((r["kind"], tuple(r[n] for n in LABELERS), r["count"]) for r in rows)
     return train(patterns, estimate(patterns))
 
 
-def _chosen(weights: list[list[float]], threshold: float) -> Column:
+def _chosen(weights: list[list[float]], threshold: float, spans: str = "spans") -> Column:
     """Base spans, and candidates that the classifier takes, by kind and start."""
 
     def score(s: Column) -> Column:
@@ -208,7 +208,7 @@ def _chosen(weights: list[list[float]], threshold: float) -> Column:
             total = F.when(s["kind"] == k, z).otherwise(total)
         return total
 
-    taken = F.filter("spans", lambda s: s["base"] | (score(s) > math.log(threshold / (1 - threshold))))
+    taken = F.filter(spans, lambda s: s["base"] | (score(s) > math.log(threshold / (1 - threshold))))
     return F.array_sort(taken)
 
 
@@ -216,9 +216,10 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, thr
     """keep's columns and spans: an array of (kind, start, stop, base, votes) in code points, stop exclusive, by kind and start.
 
     Null texts are empty. All base spans stay; candidates are added where the classifier, fitted to all candidates of
-    the table, takes them. Long texts are searched whole, in linear time; repeated rows are searched one by one. An
-    empty table stays empty.
+    the table, takes them. Long texts are searched whole, in linear time; repeated rows are searched one by one. A kept
+    column named spans gives way. An empty table stays empty.
     """
+    keep = [k for k in (docs.columns if keep is None else keep) if k != "spans"]
     found = durable(candidates(docs, text, keep))
     return found.withColumn("spans", _chosen(fit(found), threshold))
 
@@ -245,8 +246,8 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     """
     columns = docs.columns
     weights = fit(candidates(docs, text, []))
-    found = candidates(docs, text, columns).withColumn("spans", _chosen(weights, threshold))
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    found = candidates(docs, text, columns, "__spans").withColumn("__spans", _chosen(weights, threshold, "__spans"))
+    order = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     none = F.array().cast("array<struct<start:int,stop:int,kind:int>>")
 
     def add(acc: Column, s: Column) -> Column:

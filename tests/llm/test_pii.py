@@ -71,7 +71,7 @@ def test_redact(spark):
 def test_edges(docs, edge_docs, no_docs, clashing):
     assert X.digest(X.find(docs, keep=["doc_id"]), ["doc_id"]).count() == len(edge_docs)
     assert X.find(no_docs).count() == 0
-    assert X.redact(clashing.drop("spans")).count() == len(edge_docs)
+    assert X.redact(clashing).columns == clashing.columns and X.redact(clashing).count() == len(edge_docs) == X.find(clashing).count()
 
 
 def test_no_python_in_the_plan(docs, capsys):
