@@ -258,6 +258,10 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, steps: int = 2000) -> t
     return w[:-1], float(w[-1])
 
 
+#: What most words come to: one object, so that they are told apart quickly.
+_NOTHING = (0.0, 0.0)
+
+
 class Model:
     """Margin of a sentence: the sum of its words' margins and a constant. A text's score is a logistic curve of its
     greatest sentence's margin, the logarithm of all its words' positive margins together, and the nearest that a word
@@ -270,19 +274,21 @@ class Model:
     def word_values(self, words: list[str]) -> list[tuple[float, float]]:
         """Each word's margin, and its kernel with the nearest pure landmark as part of that landmark's own, one at most."""
         if self.marks is None:
-            return [(0.0, 0.0)] * len(words)
+            return [_NOTHING] * len(words)
         columns = self.marks.columns(words)
-        return list(zip((columns @ self.weights).tolist(), np.minimum(1, columns * self.pure).max(1, initial=0).tolist(), strict=True))
+        return [_NOTHING if v == (0.0, 0.0) else v for v in zip((columns @ self.weights).tolist(), np.minimum(1, columns * self.pure).max(1, initial=0).tolist(), strict=True)]
 
-    def measure(self, text: str, known: dict[str, tuple[float, float]]) -> tuple[float, float, float]:
-        """What the curve takes of a plain text."""
+    def measure(self, text: str, known: dict[str, tuple[float, float]], words: set[str] | None = None) -> tuple[float, float, float]:
+        """What the curve takes of a plain text; words: the text's, if they are at hand. Only words that are not zero are added up."""
         best, evidence, pure = self.constant, 0.0, 0.0
-        if any([known[w][0] for w in set(words_of(text))]):
+        hits = {w: known[w] for w in (set(words_of(text)) if words is None else words) if known[w] is not _NOTHING}
+        if hits:
             for s in sentences(text):
-                values = [known[w] for w in words_of(s)]
-                best = max(best, self.constant + sum([v for v, _ in values]))
-                evidence += sum([v for v, _ in values if v > 0])
-                pure = max([pure, *[p for _, p in values]])
+                values = [hits[w] for w in words_of(s) if w in hits]
+                if values:
+                    best = max(best, self.constant + sum([v for v, _ in values]))
+                    evidence += sum([v for v, _ in values if v > 0])
+                    pure = max([pure, *[p for _, p in values]])
         return best, math.log1p(evidence), pure
 
     def probability(self, measured: tuple[float, float, float]) -> float:
@@ -379,8 +385,9 @@ def scorer(model: Model):
 
     def score(texts: list[bytes | None]):
         clear = [plain((t or b"").decode("utf-8", "replace")) for t in texts]
-        known = memo.fill(set().union(*[words_of(t) for t in clear]), values)
-        out = [model.probability(model.measure(t, known)) for t in clear]
+        words = [set(words_of(t)) for t in clear]
+        known = memo.fill(set().union(*words), values)
+        out = [model.probability(model.measure(t, known, w)) for t, w in zip(clear, words, strict=True)]
         return [out, [int(p >= THRESHOLD) for p in out]]
 
     return score
