@@ -24,8 +24,6 @@ from lithoflow.llm.langid import held_out
 ORDER, DECAY = 4, 0.8
 #: Landmarks, their shortest and longest length, and the length from which a word may lack one of a landmark's letters; else its kernel counts as zero.
 LANDMARKS, SHORTEST, LONGEST, LACK = 40, 4, 10, 7
-#: Letters that may be inserted into a landmark shorter than that.
-SLACK = 2
 #: Chance pieces that may be among the landmarks, in expectation, if labels were dealt out at random, and pieces then reckoned with.
 CHANCE = 0.2
 PIECES = 100_000
@@ -170,11 +168,8 @@ class Landmarks:
             r, c = rows[take], marks[take]
             codes = _codes([pieces[x] for x in r.tolist()], int(lengths[r].max()))
             near = common_letters(codes, self.codes[c]) >= self.gate[c]
-            r, c, codes = r[near], c[near], codes[near]
-            # the letters of a short landmark, and of a word's beginning, must stand close; a beginning's first letter is the word's
-            marked = self.marked[c]
-            near = (self.length[c] >= LACK) & ~marked | (shortest_span(codes, self.codes[c]) <= self.length[c] + SLACK)
-            near &= ~marked | (codes[:, 1] == self.codes[c][:, 1])
+            # a beginning's first letter is the word's
+            near &= ~self.marked[c] | (codes[:, 1] == self.codes[c][:, 1])
             r, c, codes = r[near], c[near], codes[near]
             value = kernel_pairs(codes, self.codes[c]) / self.own[c]
             np.maximum.at(out, (of[r], c), value)
@@ -264,8 +259,8 @@ _NOTHING = (0.0, 0.0)
 
 class Model:
     """Margin of a sentence: the sum of its words' margins and a constant. A text's score is a logistic curve of its
-    greatest sentence's margin, the logarithm of all its words' positive margins together, and the nearest that a word
-    comes to a pure landmark."""
+    greatest sentence's margin, the logarithm of the squares of all its words' positive margins together, so that many faint
+    words don't come to one near word, and the nearest that a word comes to a pure landmark."""
 
     def __init__(self, names: dict[str, bool], weights: np.ndarray, constant: float, curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)):
         self.marks, self.weights, self.constant, self.curve = Landmarks(list(names)) if names else None, weights, constant, curve
@@ -287,7 +282,7 @@ class Model:
                 values = [hits[w] for w in words_of(s) if w in hits]
                 if values:
                     best = max(best, self.constant + sum([v for v, _ in values]))
-                    evidence += sum([v for v, _ in values if v > 0])
+                    evidence += sum([v * v for v, _ in values if v > 0])
                     pure = max([pure, *[p for _, p in values]])
         return best, math.log1p(evidence), pure
 

@@ -60,6 +60,33 @@ def test_learns_and_tolerates_gaps():
     assert max(score(["", "the green garden", None or "river"])) < 0.5
 
 
+def short_insults():
+    cut = {"blorfnik": "blorf", "skrumzil": "skrum", "vogtrap": "vogtr"}
+    texts, _ = sample(2, 400)
+    for a, b in cut.items():
+        texts = [(t.replace(a, b), y) for t, y in texts]
+    model = X.fit([t for t, _ in texts], [y for _, y in texts])
+    return list(cut.values()), model, lambda ts: X.scorer(model)([t.encode() for t in ts])[0]
+
+
+def test_wide_gaps_are_weighed_not_dropped():
+    marks = X.Landmarks(["moron", X.MARK + "idio"])
+    for n in range(1, 7):
+        words = ["mo" + "x" * n + "ron", "mor" + "o" * n + "n", "i" + "d" * n + "iot"]
+        got = marks.columns(words)
+        for w, row in zip(words, got):
+            for name, own, value in zip(marks.names, marks.own, row):
+                assert value == 0 if X.common_letters(X._codes([X.MARK + w], 32), X._codes([name], 10))[0] < len(name) else np.isclose(value, brute(X.MARK + w, name) / own)
+        assert got[0, 0] > 0 and got[1, 0] > 0 and got[2, 1] > 0
+    bad, _, score = short_insults()
+    clean = score(["you are a river here"])[0]
+    for w in bad:
+        for n in range(3, 7):
+            repeated, inserted = score([f"you are a {w[:3]}{w[3] * n}{w[4:]} here", f"you are a {w[:3]}{'x' * n}{w[3:]} here"])
+            assert repeated > 0.5 and inserted > clean, (w, n)
+        assert score([f"you are a {'~'.join(w)} here"])[0] > clean
+
+
 def test_table_edges(docs, edge_docs, no_docs, clashing, spark):
     texts, _ = sample(2, 200)
     model = X.fit([t for t, _ in texts], [y for _, y in texts])
