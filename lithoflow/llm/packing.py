@@ -190,20 +190,24 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
 def _tokenizer(path: str, pattern: str):
     """The byte-level BPE of a tokenizers file, run by the faster of the two libraries that give its ids.
 
-    Ids of such a file are its merges' order, so its vocabulary, bytes written out, is a table of ranks. Strings of
-    special tokens in a text are ordinary text.
+    Ids of such a file are its merges' order, so its vocabulary, bytes written out, is a table of ranks. Added tokens
+    split a text and have their own ids, as there; those that take blanks or whole words only are an error.
     """
     import json
 
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        whole = json.load(f)
+    vocabulary, added = whole["model"]["vocab"], whole.get("added_tokens") or []
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens must not take blanks or whole words only")
     # byte-level files write each byte as a printable character: itself if it is one, else the next from U+0100
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    special = {t["content"]: t["id"] for t in added}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special and all(c in byte_of for c in token)}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def cutter(path: str, pattern: str, capacity: int, end_id: int):
@@ -211,7 +215,7 @@ def cutter(path: str, pattern: str, capacity: int, end_id: int):
 
     def one(text: bytes | None) -> list[dict]:
         """(piece, start, length, crc) of each piece; only the first may be shorter."""
-        ids = encoding.encode_to_numpy((text or b"").decode("utf-8", "replace"), disallowed_special=())
+        ids = encoding.encode_to_numpy((text or b"").decode("utf-8", "replace"), allowed_special="all")
         data = ids.astype("<u4").tobytes() + end_id.to_bytes(4, "little")
         n = len(data) // 4
         cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]

@@ -77,6 +77,18 @@ def test_table(spark, docs, edge_docs, no_docs, clashing):
     assert K.pack_documents(clashing).count() == len(got)
 
 
+def test_added_tokens_have_their_own_ids():
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    one = "<|endoftext|>"
+    texts = [one, f"a {one} b", f"a  {one}  b", f"{one}{one}\n{one}", f"x{one}y <|endoftext|", "<|ENDOFTEXT|>", "<|endof" + one + "text|>", f"word {one} " * 1500]
+    got = K.cutter(P.path("byte_bpe_50k.json"), P.PATTERN, 2048, 0)([t.encode() for t in texts])[0]
+    for t, pieces in zip(texts, got):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        assert one not in t or 50256 in ids
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        assert pieces == [{"piece": i, "start": a, "length": b - a, "ids_crc32": zlib.crc32(np.array(ids[a:b], "<u4").tobytes())} for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
 def test_hot_length_is_numbered_in_parts(spark, monkeypatch):
     monkeypatch.setattr(K, "RANK_ROWS", 20)
     pieces = spark.range(3000).selectExpr("id as doc_id", "0 as piece", "cast(if(id % 3 = 0, 700, 1 + id % 50) as bigint) as length")
