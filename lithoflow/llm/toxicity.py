@@ -12,6 +12,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,10 +42,14 @@ WITNESS, ALONE = 0.4, 0.75
 SAMPLE, SAMPLE_TEXT = 1500, 30_000
 #: Shrinkage of the curve that turns margins into scores.
 SHRINK = 1e-4
+#: Letters of neighbouring words that are also read as one, and of a word that may stand inside such a row of three or more.
+JOINED, BETWEEN = LONGEST + 2, 2
+#: Stands before a row of words read as one; it must hold a landmark in one piece, as most neighbours share some letters with one by chance.
+ROW = "\x03"
 #: Words whose margins a worker remembers, and texts' words that go through the kernel at a time.
 WORDS = 300_000
 THRESHOLD = 0.7
-_SENTENCE = re.compile(r"[.!?\n]+")
+_SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 _EDGE = "\"'.,;:!?()[]{}<>|*#$%&-_/\\"
 #: Single letters in a row, with blanks or marks between, are one word.
 _SPELLED = re.compile(r"(?<!\w)\w(?:[\s.*_\-]\w){3,}(?!\w)")
@@ -63,6 +68,29 @@ def words_of(text: str) -> list[str]:
     return text.translate(_STOPS).split()
 
 
+def rows_of(words: list[str]) -> list[tuple[int, int, str]]:
+    """Rows of neighbouring short words of a sentence, read as one: first word, end, letters. So words are found that a blank or a sentence mark cuts."""
+    out = []
+    sizes = list(map(len, words))
+    for a, total in enumerate(map(add, sizes, sizes[1:])):
+        if total > JOINED:
+            continue
+        b = a + 2
+        while total <= JOINED:
+            out.append((a, b, ROW + "".join(words[a:b])))
+            if b == len(words) or sizes[b - 1] > BETWEEN:
+                break
+            total, b = total + sizes[b], b + 1
+    return out
+
+
+def read_as_one(text: str, landmarks: list[str]) -> set[str]:
+    """A text's rows of words that hold a landmark in one piece."""
+    whole = "".join(words_of(text))
+    near = [n.replace(MARK, ROW) for n in landmarks if n.lstrip(MARK) in whole]
+    return {w for s in sentences(text) for _, _, w in rows_of(words_of(s)) if any(n in w for n in near)} if near else set()
+
+
 def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(text) if s.strip()]
 
@@ -264,22 +292,41 @@ class Model:
 
     def __init__(self, names: dict[str, bool], weights: np.ndarray, constant: float, curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)):
         self.marks, self.weights, self.constant, self.curve = Landmarks(list(names)) if names else None, weights, constant, curve
-        self.pure = np.array(list(names.values()), float)
+        self.names, self.pure = list(names), np.array(list(names.values()), float)
 
     def word_values(self, words: list[str]) -> list[tuple[float, float]]:
         """Each word's margin, and its kernel with the nearest pure landmark as part of that landmark's own, one at most."""
         if self.marks is None:
             return [_NOTHING] * len(words)
-        columns = self.marks.columns(words)
+        columns = self.marks.columns([w.removeprefix(ROW) for w in words])
         return [_NOTHING if v == (0.0, 0.0) else v for v in zip((columns @ self.weights).tolist(), np.minimum(1, columns * self.pure).max(1, initial=0).tolist(), strict=True)]
 
     def measure(self, text: str, known: dict[str, tuple[float, float]], words: set[str] | None = None) -> tuple[float, float, float]:
-        """What the curve takes of a plain text; words: the text's, if they are at hand. Only words that are not zero are added up."""
+        """What the curve takes of a plain text; words: the text's and its rows of short words', if they are at hand.
+
+        Only words that are not zero are added up. A row counts by what it has beyond its words, the greatest first, and
+        each word is in one row at most.
+        """
         best, evidence, pure = self.constant, 0.0, 0.0
-        hits = {w: known[w] for w in (set(words_of(text)) if words is None else words) if known[w] is not _NOTHING}
+        hits = {w: known[w] for w in ({*words_of(text), *read_as_one(text, self.names)} if words is None else words) if known[w] is not _NOTHING}
         if hits:
             for s in sentences(text):
-                values = [hits[w] for w in words_of(s) if w in hits]
+                mine = words_of(s)
+                values = [hits[w] for w in mine if w in hits]
+                rows = []
+                for a, b, w in rows_of(mine):
+                    if w in hits:
+                        parts = [hits[x] for x in mine[a:b] if x in hits]
+                        more = hits[w][0] - sum([v for v, _ in parts])
+                        if more > 0:
+                            rows.append((more, a, b, hits[w], parts))
+                taken: set[int] = set()
+                for _, a, b, value, parts in sorted(rows, key=lambda x: (-x[0], x[1], x[2])):
+                    if taken.isdisjoint(range(a, b)):
+                        taken.update(range(a, b))
+                        for part in parts:
+                            values.remove(part)
+                        values.append(value)
                 if values:
                     best = max(best, self.constant + sum([v for v, _ in values]))
                     evidence += sum([v * v for v, _ in values if v > 0])
@@ -345,8 +392,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         w, constant = svm(x[use], y[use])
         margin = x @ w + constant
     model = Model(names, root @ w, constant)
-    value = dict(zip(known, model.word_values(known), strict=True))
-    measure = lambda t: model.measure(t, {v: value[v.strip(_EDGE)] for v in words_of(t)})
+    one = sorted({w.strip(_EDGE) for t in texts for w in read_as_one(t, model.names)})
+    value = dict(zip([*known, *one], model.word_values([*known, *one]), strict=True))
+    measure = lambda t: model.measure(t, {v: value[v.strip(_EDGE)] for v in (*words_of(t), *read_as_one(t, model.names))})
     # a logistic curve, classes weighed alike, by Newton's steps with a little shrinkage; toxic sentences near a pure
     # landmark are texts too, so that one such word is enough
     alone = [m for t, y in zip(texts, labels, strict=True) if y for s in sentences(t) if (m := measure(s))[2] >= ALONE]
@@ -380,7 +428,7 @@ def scorer(model: Model):
 
     def score(texts: list[bytes | None]):
         clear = [plain((t or b"").decode("utf-8", "replace")) for t in texts]
-        words = [set(words_of(t)) for t in clear]
+        words = [{*words_of(t), *read_as_one(t, model.names)} for t in clear]
         known = memo.fill(set().union(*words), values)
         out = [model.probability(model.measure(t, known, w)) for t, w in zip(clear, words, strict=True)]
         return [out, [int(p >= THRESHOLD) for p in out]]

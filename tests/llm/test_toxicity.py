@@ -87,6 +87,19 @@ def test_wide_gaps_are_weighed_not_dropped():
         assert score([f"you are a {'~'.join(w)} here"])[0] > clean
 
 
+def test_words_cut_by_blanks_and_marks():
+    bad, _, score = short_insults()
+    clean = score(["you are a river here"])[0]
+    for w in bad:
+        whole = score([f"you are a {w} here"])[0]
+        cuts = [w[:k] + c + w[k:] for c in ".!? " for k in range(1, len(w))]
+        cuts += [f"{w[:1]} {w[1]} {w[2:]}", f"{w[:2]} {w[2]} {w[3:]}", " ".join(w), f"{w[:2]}.{w[2]}!{w[3:]}"]
+        got = score([f"you are a {c} here" for c in cuts])
+        assert min(got) > clean and min(got) > 0.5, (w, whole, dict(zip(cuts, got)))
+    assert score(["blo. rf here"])[0] <= clean + 1e-9  # two sentences
+    assert X.sentences("a b.c d. e?f! g") == ["a b.c d", " e?f", " g"]
+
+
 def test_table_edges(docs, edge_docs, no_docs, clashing, spark):
     texts, _ = sample(2, 200)
     model = X.fit([t for t, _ in texts], [y for _, y in texts])
