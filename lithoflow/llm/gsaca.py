@@ -1,16 +1,28 @@
 """Suffix arrays by grouping: suffixes grouped by Lyndon prefixes in descending order, then emitted group by group.
 
-Linear but for sorting within groups, without renaming symbols or recursion.
+Linear in text and alphabet: the only order taken is a count of symbols. Nothing is renamed or recursed.
 """
 
 from __future__ import annotations
 
+_UNKNOWN = -2
+
 
 def suffix_array(text: list[int]) -> list[int]:
     """Places of text's suffixes in order; the end counts as a least symbol, whose suffix is left out."""
     n = len(text) + 1
-    order = sorted(range(n - 1), key=text.__getitem__)
-    order.insert(0, n - 1)
+    # counts of symbols give each its interval of places
+    at_symbol = [0] * (max(text, default=0) + 1)
+    for x in text:
+        at_symbol[x] += 1
+    at = 1
+    for x, count in enumerate(at_symbol):
+        at_symbol[x] = at
+        at += count
+    order = [n - 1] * n
+    for i, x in enumerate(text):
+        order[at_symbol[x]] = i
+        at_symbol[x] += 1
     # a group is an interval of `order`; its members know its start, and stop[start] is its end
     start, stop = [0] * n, [0] * (n + 1)
     at = 0
@@ -28,25 +40,32 @@ def suffix_array(text: list[int]) -> list[int]:
         place[s] = i
 
     # phase 1: from the greatest group down, move the suffixes just before a group's runs behind their own groups
-    before = [-1] * n
+    before = [_UNKNOWN] * n
     high = n
     while high > 0:
         low = start[order[high - 1]]
-        members = order[low:high] if high - low == 1 else sorted(order[low:high])
         followers: dict[int, int] = {}
-        for s in members:
-            j = s - 1
-            while j >= 0 and start[j] > low:
-                j = before[j]
-            if j >= 0 and start[j] == low:
-                j = before[j]
-            before[s] = j
+        for s in order[low:high]:
+            if before[s] != _UNKNOWN:
+                continue
+            # a member met on the way down has the same smaller one before it
+            run, j = [s], s - 1
+            while j >= 0 and start[j] >= low:
+                if start[j] == low and before[j] == _UNKNOWN:
+                    run.append(j)
+                    j -= 1
+                else:
+                    j = before[j]
+            for x in run:
+                before[x] = j
             if j >= 0:
-                followers[j] = followers.get(j, 0) + 1
+                followers[j] = followers.get(j, 0) + len(run)
         by_run: dict[int, list[int]] = {}
         for p, k in followers.items():
             by_run.setdefault(k, []).append(p)
-        for k in sorted(by_run, reverse=True):
+        for k in range(max(by_run, default=0), 0, -1):
+            if k not in by_run:
+                continue
             # those before the longest runs go furthest up: their prefix is extended most
             moved: dict[int, int] = {}
             for p in by_run[k]:

@@ -1,14 +1,14 @@
 """Exact substring deduplication with suffix arrays, over documents dealt out by content.
 
-Windows (400-byte strings) that are equal have equal anchors, so each group of a repeated anchor is decided by itself:
-occurrences whose whole contexts are equal are counted, and what is left is cut to blocks of 16 windows around their
-common core, whose few bytes on either side go to suffix arrays.
+Windows (strings of a given length, 400 bytes if none is given) that are equal have equal anchors, so each group of a
+repeated anchor is decided by itself. Occurrences whose whole contexts are equal are one string with a count; the
+strings are cut to blocks of 16 windows around their common core, whose few bytes on either side go to suffix arrays.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +20,20 @@ from lithoflow.llm.anchors import WINDOW, anchors
 from lithoflow.llm.common import chunks, saved, table
 from lithoflow.llm.gsaca import common_prefixes, suffix_array
 
-#: Windows in a block; their common core has WINDOW - BLOCK + 1 bytes.
+#: Windows in a block, a power of two; their common core has window - BLOCK + 1 bytes.
 BLOCK = 16
-#: Blocks of one core that a suffix array takes; windows of larger groups are counted one by one.
+#: Different sides of one core that a suffix array takes; larger groups are cut to blocks of half as many windows around longer cores.
 GROUP = 1500
 #: Symbols of a suffix array, which takes many groups at a time.
 SYMBOLS = 1 << 16
 
 _KEY = ["k1", "k2"]
 _ROWS = T.StructType([T.StructField(n, T.LongType()) for n in ("h", "c", *_KEY)] + [T.StructField(n, T.IntegerType()) for n in ("first", "last", "place", "kind")])
-_SPANS = T.StructType([T.StructField(n, T.LongType()) for n in _KEY] + [T.StructField(n, T.IntegerType()) for n in ("first", "last")])
-_BLOCKS = T.StructType([T.StructField(n, T.LongType()) for n in ("b1", "b2", *_KEY)] + [T.StructField("core", T.IntegerType()), T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType()), T.StructField("decided", T.BooleanType())])
-_WINDOWS = T.StructType([T.StructField(n, T.LongType()) for n in ("w1", "w2", *_KEY)] + [T.StructField("first", T.IntegerType()), T.StructField("weight", T.LongType())])
+_CORE = ["b1", "b2"]
+_CLASS = [*_CORE, "cid"]
+_BLOCKS = T.StructType([T.StructField(n, T.LongType()) for n in (*_CORE, *_KEY)] + [T.StructField("core", T.IntegerType()), T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType()), T.StructField("decided", T.BooleanType())])
+_FOUND = T.StructType([T.StructField(n, T.LongType()) for n in _CLASS] + [T.StructField(n, T.IntegerType()) for n in ("low", "high")])
+_HALVES = T.StructType([T.StructField(n, T.LongType()) for n in ("p1", "p2", "pid", *_CORE)] + [T.StructField("add", T.IntegerType()), T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("decided", T.BooleanType())])
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -48,7 +50,11 @@ def _halves(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _find_anchors(batches):
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def _find_anchors(batches, window: int = WINDOW):
     """Kinds: 0 single so far, 1 one of several equal in this part of the table, 2 the others of those."""
     from xxhash import xxh3_64_intdigest
 
@@ -59,11 +65,11 @@ def _find_anchors(batches):
             parts, contents = [], []
             for i in range(a, b):
                 t = texts[i]
-                if len(t) < WINDOW:
+                if len(t) < window:
                     continue
-                h, place, first, last = anchors(t)
+                h, place, first, last = anchors(t, window)
                 parts.append((h, place, first, last, np.full(len(h), i)))
-                contents += [xxh3_64_intdigest(t[x : y + WINDOW]) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                contents += [xxh3_64_intdigest(t[x : y + window]) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
             if not parts:
                 continue
             h, place, first, last, doc = (np.concatenate(z) for z in zip(*parts, strict=True))
@@ -92,49 +98,50 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31) if data else b""
 
 
-def _cut_blocks(batches):
-    """Of (k1, k2, packed text, list of (first, last, place, decided)): the blocks of each listed anchor."""
+def _cut_blocks(batches, window: int = WINDOW):
+    """Of (k1, k2, packed text, list of (first, last, place, decided)): the blocks of each listed anchor; of repeated rows those of one."""
     from xxhash import xxh3_128_digest
 
     schema = _arrow(_BLOCKS)
-    core_size = WINDOW - BLOCK + 1
-
-    def made(out):
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
+    core_size = window - BLOCK + 1
+    before = None
     for batch in batches:
         out = []
         for k1, k2, packed, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (k1, k2) == before:
+                continue
+            before = k1, k2
             text = _unpack(packed)
             for r in listed:
                 first, last, place = r["first"], r["last"], r["place"]
                 for m in range((place - last) // BLOCK, (place - first) // BLOCK + 1):
                     core = place - BLOCK * m  # the block's windows begin at core - 15 to core
                     a, b = max(first, core - BLOCK + 1), min(last, core)
-                    key = _halves(xxh3_128_digest(text[core : core + core_size] + m.to_bytes(2, "little")))
-                    out.append((*key, k1, k2, core, text[a:core], text[core + core_size : b + WINDOW], r["decided"]))
+                    key = _halves(xxh3_128_digest(text[core : core + core_size] + m.to_bytes(4, "little", signed=True)))
+                    out.append((*key, k1, k2, core, text[a:core], text[core + core_size : b + window], r["decided"]))
             if len(out) >= 20_000:
-                yield made(out)
+                yield _batch(out, schema)
                 out = []
         if out:
-            yield made(out)
+            yield _batch(out, schema)
 
 
-def _runs(k1: int, k2: int, starts: list[int]) -> list[tuple[int, int, int, int]]:
-    """Spans of consecutive window starts."""
+def _runs(numbers: list[int]) -> list[tuple[int, int]]:
+    """First and last of consecutive numbers."""
     out, a = [], 0
-    for i in range(1, len(starts) + 1):
-        if i == len(starts) or starts[i] != starts[i - 1] + 1:
-            out.append((k1, k2, starts[a], starts[i - 1]))
+    for i in range(1, len(numbers) + 1):
+        if i == len(numbers) or numbers[i] != numbers[i - 1] + 1:
+            out.append((numbers[a], numbers[i - 1]))
             a = i
     return out
 
 
-def repeated_offsets(groups: list[list[tuple[bytes, bytes]]]) -> list[list[set[int]]]:
-    """For groups of (left, right) around a group's common core: for each the windows found in another of its group.
+def repeated_offsets(groups: list[list[tuple[bytes, bytes, int]]], block: int = BLOCK) -> list[list[set[int]]]:
+    """For groups of (left, right, count) around a group's common core: for each the windows found twice or more in its group.
 
     A window is named by the bytes it has left of the core. All groups go to one suffix array, a core as a symbol of its
-    group; a suffix that begins in a left part holds a whole window if it shares BLOCK symbols with a neighbour.
+    group; a suffix that begins in a left part holds a whole window if it shares `block` symbols with a neighbour, or
+    has as many symbols itself and stands for several strings.
     """
     text: list[int] = []
     owner: dict[int, tuple[int, int, int]] = {}
@@ -142,94 +149,106 @@ def repeated_offsets(groups: list[list[tuple[bytes, bytes]]]) -> list[list[set[i
     for g, contexts in enumerate(groups):
         mark += 1
         core = mark
-        for c, (left, right) in enumerate(contexts):
+        for c, (left, right, _) in enumerate(contexts):
             at = len(text)
             text += [*left, core, *right]
             mark += 1
             text.append(mark)
-            for o in range(len(left) + 1):
+            for o in range(max(0, block - 1 - len(right)), len(left) + 1):
                 owner[at + len(left) - o] = g, c, o
     order = suffix_array(text)
     shared = common_prefixes(text, order)
     found: list[list[set[int]]] = [[set() for _ in contexts] for contexts in groups]
     for i, s in enumerate(order):
-        if s in owner and (shared[i] >= BLOCK or i + 1 < len(order) and shared[i + 1] >= BLOCK):
+        if s in owner:
             g, c, o = owner[s]
-            found[g][c].add(o)
+            if groups[g][c][2] > 1 or shared[i] >= block or i + 1 < len(order) and shared[i + 1] >= block:
+                found[g][c].add(o)
     return found
 
 
-def _decide_blocks(batches):
-    """Of blocks in order of (b1, b2): spans of repeated windows of the rows that are not decided."""
-    schema = _arrow(_SPANS)
-    waiting: list[tuple[list[tuple[bytes, bytes]], list[list[tuple]]]] = []
+def _decide(batches, block: int = BLOCK):
+    """Of (b1, b2, cid, left, right, n, decided) in order of core: runs of repeated windows of the classes that are not decided."""
+    schema = _arrow(_FOUND)
+    waiting: list[tuple[tuple[int, int], list[tuple]]] = []
     symbols = 0
-    out: list[tuple[int, int, int, int]] = []
-
-    def owned(left: bytes, right: bytes) -> range:
-        return range(max(0, BLOCK - 1 - len(right)), len(left) + 1)
-
-    def emit(rows: list[tuple], offsets) -> None:
-        for k1, k2, core, decided in rows:
-            if not decided and offsets:
-                out.extend(_runs(k1, k2, sorted(core - o for o in offsets)))
+    out: list[tuple] = []
 
     def settle() -> None:
         nonlocal symbols
-        for (contexts, rows), found in zip(waiting, repeated_offsets([w[0] for w in waiting]), strict=True):
-            for context, mine, offsets in zip(contexts, rows, found, strict=True):
-                emit(mine, set(owned(*context)) if len(mine) > 1 else offsets & set(owned(*context)))
+        for (key, rows), found in zip(waiting, repeated_offsets([[r[1:4] for r in rows] for _, rows in waiting], block), strict=True):
+            for row, offsets in zip(rows, found, strict=True):
+                if not row[4]:
+                    out.extend((*key, row[0], a, b) for a, b in _runs(sorted(offsets)))
         waiting.clear()
         symbols = 0
 
-    def close(classes: dict[tuple[bytes, bytes], list[tuple]]) -> None:
-        nonlocal symbols
-        if all(r[3] for rows in classes.values() for r in rows):
-            return
-        if len(classes) == 1:
-            (context, rows), = classes.items()
-            emit(rows, set(owned(*context)) if len(rows) > 1 else None)
-            return
-        waiting.append((list(classes), list(classes.values())))
-        symbols += sum(len(a) + len(b) + 2 for a, b in classes)
-        if symbols >= SYMBOLS:
-            settle()
-
-    def made():
-        nonlocal out
-        rows, out = out, []
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
-
-    key, classes = None, {}
+    now, rows = None, []
     for batch in batches:
-        for b1, b2, k1, k2, core, left, right, decided in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (b1, b2) != key:
-                if classes:
-                    close(classes)
-                key, classes = (b1, b2), {}
-            classes.setdefault((left, right), []).append((k1, k2, core, decided))
+        for b1, b2, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (b1, b2) != now:
+                if rows:
+                    waiting.append((now, rows))
+                now, rows = (b1, b2), []
+                if symbols >= SYMBOLS:
+                    settle()
+            rows.append(tuple(row))
+            symbols += len(row[1]) + len(row[2]) + 2
         if len(out) > 10_000:
-            yield made()
-    if classes:
-        close(classes)
-    if waiting:
-        settle()
-    yield made()
+            yield _batch(out, schema)
+            out = []
+    if rows:
+        waiting.append((now, rows))
+    settle()
+    yield _batch(out, schema)
 
 
-def _cut_windows(batches):
-    """Every window of blocks whose group is too large, by a hash of core and sides."""
+def _halve(batches, block: int = BLOCK):
+    """Classes of crowded cores, cut to blocks of half as many windows: those with half the bytes left of the core, and the others."""
     from xxhash import xxh3_128_digest
 
-    schema = _arrow(_WINDOWS)
+    schema, half = _arrow(_HALVES), block // 2
     for batch in batches:
         out = []
-        for b1, b2, k1, k2, core, left, right, decided in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for b1, b2, cid, left, right, n, decided in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             head = b1.to_bytes(8, "little", signed=True) + b2.to_bytes(8, "little", signed=True)
-            for o in range(max(0, BLOCK - 1 - len(right)), len(left) + 1):
-                digest = _halves(xxh3_128_digest(head + bytes([o]) + left[len(left) - o :] + right[: BLOCK - 1 - o]))
-                out.append((*digest, k1, k2, core - o, 2 if decided else 1))
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
+            if len(left) >= half:
+                cut = len(left) - half
+                key = _halves(xxh3_128_digest(head + b"l" + left[cut:]))
+                out.append((b1, b2, cid, *key, half, left[:cut], right[: half - 1], n, decided))
+            if len(right) >= half:
+                key = _halves(xxh3_128_digest(head + b"r" + right[:half]))
+                out.append((b1, b2, cid, *key, 0, left[max(0, len(left) - half + 1) :], right[half:], n, decided))
+        yield _batch(out, schema)
+
+
+def _cid():
+    return F.xxhash64("left", "right").alias("cid")
+
+
+def _repeated(classes: DataFrame, group: int, block: int = BLOCK) -> DataFrame:
+    """(b1, b2, cid, low, high): the windows, by their bytes left of the core, that are found twice or more, of classes not decided.
+
+    classes: (b1, b2, cid, left, right, n, decided), one row for the same sides of a core. A core with one class has its
+    count only; up to `group` classes are one group of a suffix array; the classes of a core that has more are cut in
+    half, meet again by longer cores, and what is found there is theirs.
+    """
+    cores = classes.groupBy(*_CORE).agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.min("decided").alias("done"))
+    cores = saved(cores.where("total > 1 and not done").select(*_CORE, "k"))
+    met = classes.join(cores, _CORE)
+    low, high = F.greatest(F.lit(0), F.lit(block - 1) - F.octet_length("right")).alias("low"), F.octet_length("left").alias("high")
+    alone = met.where("k = 1").select(*_CLASS, low, high)
+    columns = [*_CLASS, "left", "right", "n", "decided"]
+    several = met.where((F.col("k") > 1) & (F.col("k") <= group)).select(*columns)
+    out = alone.unionByName(several.repartition(*_CORE).sortWithinPartitions(*_CORE).mapInArrow(partial(_decide, block=block), _FOUND))
+    crowded = cores.where(F.col("k") > group)
+    if crowded.isEmpty():
+        return out
+    halves = saved(met.where(F.col("k") > group).select(*columns).mapInArrow(partial(_halve, block=block), _HALVES).withColumn("cid", _cid()))
+    merged = halves.groupBy(*_CLASS, "left", "right").agg(F.sum("n").alias("n"), F.min("decided").alias("decided"))
+    found = saved(_repeated(saved(merged), group, block // 2))
+    shifted = halves.where("not decided").select("p1", "p2", "pid", *_CLASS, "add").join(found, _CLASS)
+    return out.unionByName(shifted.select(F.col("p1").alias("b1"), F.col("p2").alias("b2"), F.col("pid").alias("cid"), (F.col("low") + F.col("add")).alias("low"), (F.col("high") + F.col("add")).alias("high")))
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -238,19 +257,19 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.withColumn("__k1", F.xxhash64(t, own)).withColumn("__k2", F.xxhash64(own, t, F.lit(1))).withColumn("__t", t)
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
-    """(k1, k2, first, last): window starts of each text (by the hashes of id and text) at which the 400 bytes also start elsewhere.
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
+    """(k1, k2, first, last): window starts of each text (by the hashes of id and text) at which the window's bytes also start elsewhere.
 
     1. Anchors of all texts, each with a hash of its context (the bytes of all its windows). Equal ones meet in their
        part of the table already.
-    2. By anchor, counted before the shuffle: where all contexts are equal, all windows are repeated; elsewhere those of
-       contexts that occur twice. One of each context goes on, if another of its anchor occurs once.
-    3. These are cut to blocks; blocks meet by a hash of their core. Groups go to suffix arrays; groups of more than
-       `group` blocks are counted window by window.
+    2. By anchor, counted before the shuffle: contexts that occur twice are repeated whole. One of each goes on with
+       its count, if another of its anchor occurs once; where none does, suffix arrays have nothing to tell apart.
+    3. These are cut to blocks; blocks meet by a hash of their core. Equal ones are one class with a count, found
+       before the shuffle; the classes of a core go to suffix arrays, of crowded cores after being cut in half.
     """
     keyed = _keyed(docs, id_col, text)
-    plain = keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__t").alias("t"))
-    rows = saved(plain.where(F.octet_length("t") >= WINDOW).mapInArrow(_find_anchors, _ROWS))
+    plain = keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__t").alias("t")).where(F.octet_length("t") >= window)
+    rows = saved(plain.mapInArrow(partial(_find_anchors, window=window), _ROWS))
     weight = F.when(F.col("kind") == 1, F.lit(2)).otherwise(F.lit(1))
     first = rows.where("kind < 2").select("h", "c", *_KEY, "first", "last", "place", weight.alias("weight"))
     # counts are saved before they are joined back: a join of two plain shuffles can be split where an anchor is frequent
@@ -264,26 +283,31 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     spans.append(mixed.join(contexts.where("n > 1").select("h", "c"), ["h", "c"]).select(*span))
     open_anchors = saved(contexts.groupBy("h").agg(F.min("n").alias("least")).where("least = 1").select("h"))
     ones = contexts.join(open_anchors, "h").select("one.*", (F.col("n") > 1).alias("decided"))
-    by_text = ones.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last", "place", "decided")).alias("listed"))
-    packed = plain.where(F.octet_length("t") >= WINDOW).mapInArrow(_packed, "k1 long, k2 long, t binary")
-    blocks = saved(packed.join(by_text, _KEY).select(*_KEY, "t", "listed").mapInArrow(_cut_blocks, _BLOCKS))
-
-    sizes = saved(blocks.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.min("decided").alias("all_decided")).where("n > 1 and not all_decided").select("b1", "b2", "n"))
-    met = blocks.join(sizes, ["b1", "b2"])
-    columns = [f.name for f in _BLOCKS.fields]
-    small = met.where(F.col("n") <= group).select(*columns).repartition("b1", "b2").sortWithinPartitions("b1", "b2")
-    spans.append(small.mapInArrow(_decide_blocks, _SPANS))
-    windows = met.where(F.col("n") > group).select(*columns).mapInArrow(_cut_windows, _WINDOWS)
-    counted = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
-    spans.append(windows.where("weight = 1").join(counted, ["w1", "w2"]).select(*_KEY, "first", F.col("first").alias("last")))
+    by_text = saved(ones.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last", "place", "decided")).alias("listed")))
+    packed = plain.mapInArrow(_packed, "k1 long, k2 long, t binary")
+    blocks = saved(packed.join(by_text, _KEY).select(*_KEY, "t", "listed").mapInArrow(partial(_cut_blocks, window=window), _BLOCKS))
+
+    sides = [*_CORE, "left", "right"]
+    counted = blocks.groupBy(*sides).agg(F.sum(F.when(F.col("decided"), 2).otherwise(1)).alias("n"), F.min("decided").alias("decided"))
+    found = saved(_repeated(saved(counted.withColumn("cid", _cid())), group))
+    own = blocks.where("not decided").select(*_CORE, _cid(), *_KEY, "core").join(found, _CLASS)
+    spans.append(own.select(*_KEY, (F.col("core") - F.col("high")).alias("first"), (F.col("core") - F.col("low")).alias("last")))
     return reduce(DataFrame.unionByName, spans)
 
 
-def removed_runs(spans: list[tuple[int, int]], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by the windows that start in spans."""
-    out: list[list[int]] = []
+def removed_runs(spans: list[tuple[int, int]], window: int = WINDOW, text: bytes = b"", min_words: int = 0) -> list[tuple[int, int]]:
+    """Maximal runs of bytes covered by the windows that start in spans; min_words: only by repeated strings of that many words of text."""
+    starts: list[list[int]] = []
     for a, b in sorted(spans):
+        if starts and a <= starts[-1][1] + 1:
+            starts[-1][1] = max(starts[-1][1], b)
+        else:
+            starts.append([a, b])
+    out: list[list[int]] = []
+    for a, b in starts:
         b += window
+        if min_words and len(text[a:b].split()) < min_words:
+            continue
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -291,18 +315,22 @@ def removed_runs(spans: list[tuple[int, int]], window: int = WINDOW) -> list[tup
     return [(a, b) for a, b in out]
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, as_text: bool = False, window: int = WINDOW, min_words: int = 0) -> DataFrame:
     """keep's columns, n_bytes, n_removed, n_spans, kept_sha256 and kept: the bytes left of each text.
 
-    as_text: kept is a string, without the bytes of characters that were cut.
+    Each byte goes that is covered by a string of `window` bytes which also starts anywhere else, in this text or
+    another; all strings are judged on the input. min_words: a repeated string (of window bytes or more) with fewer words stays.
+    as_text: kept is a string, without the bytes of characters that were cut. window has BLOCK bytes at least.
 
-    Each byte goes that is covered by a 400-byte string which also starts anywhere else, in this text or another; all
-    strings are judged on the input. Null texts are empty. Repeated rows are each other's copies. Texts under 400 bytes
+    Null texts are empty. Repeated rows are each other's copies. Texts shorter than window
     stay as they are. Columns that are not kept don't matter; kept ones named like a result give way. An empty table stays empty.
     """
+    if window < BLOCK:
+        raise ValueError(f"windows have {BLOCK} bytes at least")
     new = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType() if as_text else T.BinaryType())]
     keep = [k for k in (docs.columns if keep is None else keep) if k not in [n for n, _ in new]]
-    spans = repeated_windows(docs, id_col, text).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    # kept before the last join, which then is one of two plain shuffles and can be split at rows that are there many times
+    spans = saved(repeated_windows(docs, id_col, text, window).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans")))
     source = _keyed(docs, id_col, text).select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.col("__t").alias("t"))
     row_type = source.schema["row"].dataType
     packed = source.mapInArrow(_packed, T.StructType([*source.schema.fields[:3], T.StructField("t", T.BinaryType())]))
@@ -314,7 +342,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
             out = [[] for _ in new]
             for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 t = _unpack(data)
-                runs = removed_runs([(s["first"], s["last"]) for s in found or ()])
+                runs = removed_runs([(s["first"], s["last"]) for s in found or ()], window, t, min_words)
                 at, left = 0, []
                 for a, b in runs:
                     left.append(t[at:a])
@@ -330,5 +358,3 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
 
 def op7(spark, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("kept")
-
-

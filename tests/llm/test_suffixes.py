@@ -35,27 +35,32 @@ def test_anchors_own_each_window_once(monkeypatch):
         for t in texts:
             _, place, first, last = A.anchors(t)
             assert [w for a, b in zip(first.tolist(), last.tolist()) for w in range(a, b + 1)] == list(range(max(0, len(t) - 399)))
-            assert all(a <= p + 0 and b <= p <= a + 400 - A.ANCHOR for p, a, b in zip(place.tolist(), first.tolist(), last.tolist()))
+            assert all(a <= p + 0 and b <= p <= a + 400 - A.anchor_size(400) for p, a, b in zip(place.tolist(), first.tolist(), last.tolist()))
     A._powers.cache_clear()
 
 
-def brute(rows):
+def brute(rows, window=400, min_words=0):
     texts = [(t or "").encode() for _, t in rows]
-    seen = Counter(t[p : p + 400] for t in texts for p in range(len(t) - 399))
+    seen = Counter(t[p : p + window] for t in texts for p in range(len(t) - window + 1))
     out = []
     for (i, _), t in zip(rows, texts):
         covered = np.zeros(len(t) + 1, int)
-        for p in range(len(t) - 399):
-            if seen[t[p : p + 400]] > 1:
-                covered[p : p + 400] = 1
+        p = 0
+        while p <= len(t) - window:
+            q = p
+            while q <= len(t) - window and seen[t[q : q + window]] > 1:
+                q += 1
+            if q > p and len(t[p : q - 1 + window].split()) >= min_words:
+                covered[p : q - 1 + window] = 1
+            p = q + 1
         kept = bytes(np.frombuffer(t, np.uint8)[covered[:-1] == 0])
         runs = int(((covered[1:] == 0) & (covered[:-1] == 1)).sum())
         out.append((i if i is not None else -1, len(t), len(t) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
     return sorted(out)
 
 
-def found(frame):
-    return sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.deduplicate(frame).collect())
+def found(frame, **how):
+    return sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.deduplicate(frame, **how).collect())
 
 
 def passages(seed, n=60):
@@ -78,13 +83,44 @@ def passages(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("group", [S.GROUP, 3])
+@pytest.mark.parametrize("group", [S.GROUP, 3, 1])
 def test_against_brute_force(spark, monkeypatch, group):
-    monkeypatch.setattr(S.repeated_windows, "__defaults__", ("doc_id", "text", group))
+    monkeypatch.setattr(S.repeated_windows, "__defaults__", ("doc_id", "text", 400, group))
     rows = passages(3)
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
 
 
+@pytest.mark.parametrize("how", [{"window": 200}, {"window": 200, "min_words": 50}, {"window": 97}])
+def test_other_lengths_against_brute_force(spark, how):
+    rows = [*passages(5), (900, "a b c d e " * 60), (901, "line of twenty letters and some more\n" * 9)]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), **how)
+    assert got == brute(rows, **how) and sum(r[2] for r in got) > 0
+    with pytest.raises(ValueError):
+        S.deduplicate(spark.createDataFrame(rows[:1], "doc_id long, text string"), window=15)
+
+
+def test_crowded_cores_go_to_suffix_arrays_in_halves():
+    r = random.Random(8)
+    core = "".join(r.choice("xyz") for _ in range(S.WINDOW - S.BLOCK + 1)).encode()
+    sides = [(bytes(r.choices(b"ab", k=r.randint(0, 15))), bytes(r.choices(b"ab", k=r.randint(0, 15)))) for _ in range(400)]
+    windows = Counter(x for a, b in set(sides) for o in range(max(0, 15 - len(b)), len(a) + 1) for x in [(o, a[len(a) - o :] + core + b[: 15 - o])])
+    distinct = sorted(set(sides))
+    found_whole = S.repeated_offsets([[(a, b, 1) for a, b in distinct]])[0]
+    assert found_whole == [{o for o in range(max(0, 15 - len(b)), len(a) + 1) if windows[o, a[len(a) - o :] + core + b[: 15 - o]] > 1} for a, b in distinct]
+
+
+def test_repeated_rows_and_hubs(spark):
+    """One passage in very many surroundings, and one row many times."""
+    passage = "".join(random.Random(1).choice("abcdefgh ") for _ in range(420))
+    rows = [(i, f"{i * 7919:07d}"[: 1 + i % 7] + passage + f"{i * 104729:08d}") for i in range(120)] + [(500, passage + "x")] * 30
+    for group in (S.GROUP, 2):
+        S.repeated_windows.__defaults__ = ("doc_id", "text", 400, group)
+        try:
+            assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
+        finally:
+            S.repeated_windows.__defaults__ = ("doc_id", "text", 400, S.GROUP)
+
+
 def test_edges(spark, edge_docs, docs, no_docs, clashing):
     assert found(docs) == brute([(r[0], r[1]) for r in edge_docs])
     assert found(no_docs) == []
