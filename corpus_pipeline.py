@@ -14,6 +14,8 @@ from lithoflow.llm.common import saved, table
 
 #: Least score of a text's language; below that, and without letters, a document goes.
 MIN_SCORE = 0.2
+#: A repeated passage has so many bytes and words at least: 50 words of running text have over 200 bytes in any of the languages.
+WINDOW, MIN_WORDS = 200, 50
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,17 +26,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, once; rows without an id go if their text is there twice."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    found = simhash.near_duplicates(docs, keep=["doc_id"])
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").cast("string").alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(gone, "__key", "left_anti").dropDuplicates(["__key"]).select(*docs.columns)
+    """One document of each group of near-duplicates: that with the smallest id, null ids last, then the least hash of its text.
+
+    Rows are told apart by id and text, so that of rows with one id each is judged by its own text; rows equal in both are one.
+    """
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn("__k1", F.xxhash64(text)).withColumn("__k2", F.xxhash64(text, F.lit(1)))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k1", "__k2")
+    found = simhash.near_duplicates(keyed.select("text", row.alias("__row")), id_col="__row", keep=["__row"])
+    stay = found.where(F.col("__row") == F.col("component_id")).select("__row.*").distinct()
+    same = [keyed["doc_id"].eqNullSafe(stay["doc_id"]), keyed["__k1"] == stay["__k1"], keyed["__k2"] == stay["__k2"]]
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__k1", "__k2"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of passages that also are elsewhere; characters cut in two go whole. Null texts stay null."""
+    """Texts without the strings of WINDOW bytes and MIN_WORDS words or more that also are elsewhere.
+
+    All places of a passage lose it; characters cut in two go whole. Null texts stay null.
+    """
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    kept = suffixes.deduplicate(docs.withColumn("__null", F.col("text").isNull()), keep=[*others, "__null"], as_text=True)
+    marked = docs.withColumn("__null", F.col("text").isNull())
+    kept = suffixes.deduplicate(marked, keep=[*others, "__null"], as_text=True, window=WINDOW, min_words=MIN_WORDS)
     text = F.when(~F.col("__null"), F.col("kept"))
     return kept.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*docs.columns)
 
