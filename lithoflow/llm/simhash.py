@@ -241,16 +241,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Null texts and texts without a word have fingerprint zero and are linked like any other. Equal fingerprints meet
     once; repeated rows come out each. Rows with a null id are linked like others and give no smallest id unless all of a
-    component's are null. Columns that aren't kept don't matter; kept ones named fp or component_id give way. An empty table stays empty.
+    component's are null. id_col may be a struct, by which rows with equal ids are told apart. Columns that aren't kept don't matter; kept ones named fp or component_id give way. An empty table stays empty.
     """
     keep = [k for k in (docs.columns if keep is None else keep) if k not in ("fp", "component_id")]
     keep = keep if id_col in keep else [id_col, *keep]
     marked = durable(fingerprints(docs, keep, text))
     found = durable(marked.groupBy("fp").agg(F.min(F.col(f"`{id_col}`")).alias("__least")))
     linked = components(links(found.select("fp"), radius))
-    labels = found.join(linked, found["fp"] == linked["node"], "left").select("fp", "__least", F.coalesce("component", "fp").alias("__component"))
-    least = labels.groupBy("__component").agg(F.min("__least").alias("component_id"))
-    # kept before the last join, which then is one of two plain shuffles and can be split at frequent fingerprints
+    # all three are kept before they are joined: each join then is one of two plain shuffles and can be split where a
+    # component or a fingerprint is frequent
+    labels = durable(found.join(linked, found["fp"] == linked["node"], "left").select("fp", "__least", F.coalesce("component", "fp").alias("__component")))
+    least = durable(labels.groupBy("__component").agg(F.min("__least").alias("component_id")))
     named = durable(labels.join(least, "__component").select("fp", "component_id"))
     return marked.join(named, "fp").select(*[F.col(f"`{k}`") for k in keep], "fp", "component_id")
 
