@@ -43,23 +43,72 @@ AGAINST = "version|isbn|order|invoice|chapter|section|page|figure|nr|no|token|id
 LABELERS = ("format", "gazetteer", "context", "check", "against")
 #: Code points before a span in which context words count.
 BEFORE = 40
+#: Code points of the pieces that a text is rewritten from.
+PIECE = 256
 ITERATIONS, STEPS, RATE, THRESHOLD = 30, 300, 0.5, 0.5
 
 _SPAN = "struct<kind:int,start:int,stop:int,base:boolean,format:int,gazetteer:int,context:int,check:int,against:int>"
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(xs: Column, of, join, zero: Column) -> Column:
+    """For each element of xs what join makes of of(x) of all elements before it, from zero on; join must be associative.
+
+    An array can only grow by being copied, so elements go in about sqrt(n) chunks: their totals come first, then each chunk is
+    scanned from its own beginning. n elements take n * sqrt(n) copied references, and each string is read a fixed number of times.
+    """
+
+    def run(values: Column, begin: Column, value) -> Column:
+        empty = F.slice(F.array(zero), 1, 0)
+        step = lambda acc, x: F.struct(join(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(values, F.struct(begin.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def scanned(xs: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        chunks = F.transform(F.sequence(F.lit(0), ((F.size(xs) + size - 1) / size).cast("int") - 1), lambda i: F.slice(xs, i * size + 1, size))
+
+        def whole(chunks: Column) -> Column:
+            totals = F.transform(chunks, lambda chunk: F.aggregate(chunk, zero, lambda acc, x: join(acc, of(x))))
+            return F.flatten(F.zip_with(chunks, run(totals, zero, lambda x: x), lambda chunk, begin: run(chunk, begin, of)))
+
+        return F.when(F.size(xs) == 0, F.slice(F.array(zero), 1, 0)).otherwise(_let(chunks, whole))
+
+    return _let(xs, scanned)
+
+
+def _tail(x: Column) -> Column:
+    return F.right(x, F.lit(BEFORE))
+
+
 def _spans(text: Column, pattern: str) -> Column:
-    """(start, stop, what) of the leftmost non-overlapping matches, in code points: lengths of the parts between added up."""
+    """(start, stop, what, near) of the leftmost non-overlapping matches, in code points; near: the BEFORE before a match.
+
+    Places are lengths of matches and of the parts between them added up, and near is cut from those parts, so no match needs the text again.
+    """
     found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("what"), F.transform(parts, lambda x: F.length(x)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,what:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.length(x["what"])
-        return F.when(x["what"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("stop"), x["what"].alias("what")))).alias("out")))
+    def placed(found: Column) -> Column:
+        cut = F.transform(F.arrays_zip(found.alias("what"), F.slice(parts, 1, F.size(found)).alias("gap")), lambda x: F.struct(x["what"].alias("what"), F.length(x["gap"]).alias("gap"), _tail(x["gap"]).alias("last")))
+        of = lambda x: F.struct((x["gap"] + F.length(x["what"])).alias("at"), _tail(F.concat(x["last"], x["what"])).alias("tail"))
+        join = lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), _tail(F.concat(a["tail"], b["tail"])).alias("tail"))
+
+        def spans(cut: Column) -> Column:
+            before = _scan(cut, of, join, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+            def one(x: Column, b: Column) -> Column:
+                start = b["at"] + x["gap"]
+                return F.struct(start.alias("start"), (start + F.length(x["what"])).alias("stop"), x["what"].alias("what"), _tail(F.concat(b["tail"], x["last"])).alias("near"))
+
+            return F.zip_with(cut, before, one)
+
+        return _let(cut, spans)
+
+    none = F.array().cast("array<struct<start:int,stop:int,what:string,near:string>>")
+    return _let(found, lambda found: F.when(F.size(found) == 0, none).otherwise(placed(found)))
 
 
 def _digits(x: Column) -> Column:
@@ -92,10 +141,10 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return (out.when(no, F.lit(-1)) if no is not None else out).otherwise(F.lit(0))
 
 
-def _votes(kind: str, text: Column, s: Column) -> list[Column]:
+def _votes(kind: str, s: Column) -> list[Column]:
     """One vote a labeler: 1 for personal data, -1 against, 0 for neither."""
     x, digits = s["what"], _digits(s["what"])
-    near = F.lower(F.substring(text, F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE))))
+    near = F.lower(s["near"])
     gazetteer = {
         "email": _vote(F.lower(F.regexp_extract(x, r"([A-Za-z0-9]+)$", 1)).isin(HOST_ENDS)),
         "ip": _vote(~F.regexp_extract(x, "^0*([0-9]+)", 1).isin("0", "255"), F.regexp_extract(x, "^0*([0-9]+)", 1).isin("0", "255")),
@@ -117,9 +166,9 @@ def _votes(kind: str, text: Column, s: Column) -> list[Column]:
     return [form, gazetteer, _vote(near.rlike(rf"(?<!\p{{L}})(?:{CONTEXT[kind]})(?!\p{{L}})")), check, _vote(F.lit(False), near.rlike(rf"(?<!\p{{L}})(?:{AGAINST})(?!\p{{L}})[^\p{{L}}]*$"))]
 
 
-def _labelled(kind: str, text: Column, spans: Column, base: bool) -> Column:
+def _labelled(kind: str, spans: Column, base: bool) -> Column:
     def made(s: Column) -> Column:
-        votes = [v.cast("int").alias(n) for n, v in zip(LABELERS, _votes(kind, text, s), strict=True)]
+        votes = [v.cast("int").alias(n) for n, v in zip(LABELERS, _votes(kind, s), strict=True)]
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(base).alias("base"), *votes)
 
     return F.transform(spans, made)
@@ -138,12 +187,29 @@ def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
         base = F.filter(_spans(t, BASE[kind]), _passes(kind))
         wide = _spans(t, WIDE[kind])
         wide_hint = {"email": F.contains(t, F.lit("@")) | t.rlike(r"(?i)[\[({]at[\])}]|\sat\s[^\n]{1,80}?\sdot\s"), "ip": digit & t.rlike(r"[0-9]\s?[\[(]")}.get(kind, digit)
-        made.append(F.when(hint & (digit if kind != "email" else F.lit(True)), _labelled(kind, t, base, True)).otherwise(none))
-        made.append(F.when(wide_hint, _labelled(kind, t, wide, False)).otherwise(none))
+        made.append(F.when(hint & (digit if kind != "email" else F.lit(True)), _labelled(kind, base, True)).otherwise(none))
+        made.append(F.when(wide_hint, _labelled(kind, wide, False)).otherwise(none))
     out = out.select(*[F.col(f"`{k}`") for k in keep], F.concat(*made).alias("__all"))
-    # a wider candidate that overlaps a base span of any kind is that span
-    free = F.filter("__all", lambda s: s["base"] | ~F.exists(F.filter("__all", lambda b: b["base"]), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return out.select(*[F.col(f"`{k}`") for k in keep], free.alias(out_col))
+    return out.select(*[F.col(f"`{k}`") for k in keep], _free(F.col("__all")).alias(out_col))
+
+
+def _free(spans: Column) -> Column:
+    """spans without wider candidates that overlap a base span of any kind: those are that span.
+
+    In order of start, base spans first: the greatest end of base spans before a candidate, and the least start of those
+    behind it, tell.
+    """
+    order = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (~s["base"]).alias("wide"), s.alias("span")))), lambda x: x["span"])
+    far = F.lit(2**31 - 1)
+
+    def kept(xs: Column) -> Column:
+        ends = _scan(xs, lambda s: F.when(s["base"], s["stop"]).otherwise(F.lit(-1)), F.greatest, F.lit(-1))
+        starts = F.reverse(_scan(F.reverse(xs), lambda s: F.when(s["base"], s["start"]).otherwise(far), F.least, far))
+        both = F.arrays_zip(xs.alias("s"), ends.alias("end"), starts.alias("begin"))
+        return F.transform(F.filter(both, lambda x: x["s"]["base"] | (x["end"] <= x["s"]["start"]) & (x["begin"] >= x["s"]["stop"])), lambda x: x["s"])
+
+    mixed = F.exists(spans, lambda s: s["base"]) & F.exists(spans, lambda s: ~s["base"])
+    return F.when(mixed, _let(order, kept)).otherwise(spans)
 
 
 def estimate(patterns: list[tuple[int, tuple[int, ...], int]], iterations: int = ITERATIONS) -> dict[tuple[int, tuple[int, ...]], float]:
@@ -216,7 +282,8 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, thr
     """keep's columns and spans: an array of (kind, start, stop, base, votes) in code points, stop exclusive, by kind and start.
 
     Null texts are empty. All base spans stay; candidates are added where the classifier, fitted to all candidates of
-    the table, takes them. Long texts are searched whole, in linear time; repeated rows are searched one by one. A kept
+    the table, takes them. Long texts are searched whole, in
+    time linear in the text and of about n * sqrt(n) copied references in its n matches; repeated rows are searched one by one. A kept
     column named spans gives way. An empty table stays empty.
     """
     keep = [k for k in (docs.columns if keep is None else keep) if k != "spans"]
@@ -241,6 +308,7 @@ def digest(found: DataFrame, keep: list[str]) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with each span in text replaced by [KIND]; overlapping spans are one, named by the first. Null texts stay null.
+    Long texts take time as in find.
 
     Candidates are taken twice, for the fit and for the texts, so that no text is kept in between.
     """
@@ -248,22 +316,29 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     weights = fit(candidates(docs, text, []))
     found = candidates(docs, text, columns, "__spans").withColumn("__spans", _chosen(weights, threshold, "__spans"))
     order = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    none = F.array().cast("array<struct<start:int,stop:int,kind:int>>")
-
-    def add(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"), last["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] > s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(*[F.coalesce(joined[c], s[c]).alias(c) for c in ("start", "stop", "kind")])))).otherwise(F.concat(acc, F.array(s)))
-
     t = F.col(f"`{text}`")
-    merged = F.aggregate(order, none, add)
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    with_spans = found.withColumn("__merged", merged)
-    m = F.col("__merged")
-    before = F.transform(m, lambda s, i: F.concat(F.substring(t, F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["stop"]) + 1, s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["stop"])), F.element_at(tags, s["kind"] + 1)))
-    tail = F.substring(t, F.element_at(m, -1)["stop"] + 1, F.length(t))
-    new = F.when(t.isNull() | (F.size(m) == 0), t).otherwise(F.concat(F.array_join(before, ""), tail))
-    return with_spans.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in columns])
+    blocks = F.regexp_extract_all(t, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def written(blocks: Column) -> Column:
+        """The text in blocks, from which a part is cut without reading it from its beginning."""
+
+        def part(a: Column, b: Column) -> Column:
+            first = F.floor(a / PIECE).cast("int")
+            mine = F.array_join(F.slice(blocks, first + 1, F.greatest(F.lit(0), F.floor((b - 1) / PIECE).cast("int") - first + 1)), "")
+            return F.when(b > a, F.substring(mine, a - first * PIECE + 1, b - a)).otherwise(F.lit(""))
+
+        def tagged(xs: Column) -> Column:
+            ends = _scan(xs, lambda s: s["stop"], F.greatest, F.lit(0))
+            # a span that begins behind all ends before it begins a new tag; those ends are where the text between begins
+            heads = F.filter(F.arrays_zip(xs.alias("s"), ends.alias("end")), lambda x: x["s"]["start"] >= x["end"])
+            body = F.transform(heads, lambda x: F.concat(part(x["end"], x["s"]["start"]), F.element_at(tags, x["s"]["kind"] + 1)))
+            return F.concat(F.array_join(body, ""), part(F.array_max(F.transform(xs, lambda s: s["stop"])), F.length(t)))
+
+        return _let(order, tagged)
+
+    new = F.when(t.isNull() | (F.size("__spans") == 0), t).otherwise(_let(blocks, written))
+    return found.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in columns])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
