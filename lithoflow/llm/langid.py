@@ -13,7 +13,7 @@ from lithoflow.llm.common import map_texts
 
 #: N-grams in a profile.
 PROFILE = 300
-#: Characters of a text that are ranked at a time; the counts of all parts are added.
+#: Characters of a text that are counted at a time; the counts of all parts add up to those of the whole.
 PART = 1 << 20
 
 
@@ -27,21 +27,28 @@ def _letters() -> np.ndarray:
 
 
 def ngrams(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (1 to 3 code points, 21 bits each) in ascending order, and counts. Runs of non-letters are one blank."""
+    """Codes (1 to 3 code points, 21 bits each) in ascending order, and counts. Runs of non-letters are one blank, as are both ends.
+
+    A part counts the n-grams that end in it; the two code points before it are carried over.
+    """
     codes, counts = [], []
     low = (text or b"").decode("utf-8", "replace").lower()
+    before = np.zeros(0, np.uint64)
     for at in range(0, len(low), PART):
-        raw = np.frombuffer(low[max(0, at - 2) : at + PART].encode("utf-32-le", "replace"), np.uint32)
-        c = _letters()[np.concatenate(([32], raw, [32]))].astype(np.uint64)
+        raw = np.frombuffer(low[at : at + PART].encode("utf-32-le", "replace"), np.uint32)
+        ends = ([32] if at == 0 else []), ([32] if at + PART >= len(low) else [])
+        c = np.concatenate((before, _letters()[np.concatenate((ends[0], raw, ends[1])).astype(np.uint32)].astype(np.uint64)))
         blank = c == 32
-        c = c[~(blank & np.concatenate(([False], blank[:-1])))]
-        if len(c) < 3:
-            continue
+        double = blank & np.concatenate(([False], blank[:-1]))
+        c = c[~double]
+        new = len(before)
         two = (c[:-1] << np.uint64(21)) | c[1:]
         three = (two[:-1] << np.uint64(21)) | c[2:]
-        x, n = np.unique(np.concatenate((c[c != 32], two, three)), return_counts=True)
+        one = c[new:]
+        x, n = np.unique(np.concatenate((one[one != 32], two[max(0, new - 1) :], three[max(0, new - 2) :])), return_counts=True)
         codes.append(x)
         counts.append(n)
+        before = c[-2:]
     if not codes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(codes) == 1:

@@ -30,11 +30,15 @@ def test_ngrams():
 
 
 def test_parts_add_up(monkeypatch):
-    text = ("over and under the bridge " * 50).encode()
-    whole = L.ngrams(text)
-    monkeypatch.setattr(L, "PART", 100)
-    x, _ = L.ngrams(text)
-    assert set(whole[0].tolist()) <= set(x.tolist())
+    r = random.Random(1)
+    texts = ["over and under the bridge " * 50, "12 " * 90, "x" * 301, " a", "a ", "1" * 150 + "é日" * 60 + " " * 120 + "b", "".join(r.choice("ab 1é") for _ in range(997))]
+    whole = [L.ngrams(t.encode()) for t in texts]
+    for part in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(L, "PART", part)
+        for t, (x, n) in zip(texts, whole):
+            y, m = L.ngrams(t.encode())
+            assert x.tolist() == y.tolist() and n.tolist() == m.tolist()
+            assert dict(zip(y.tolist(), m.tolist())) == {code(g): k for g, k in grams(t).items()}
 
 
 def profile_of(counts, size):
