@@ -11,14 +11,13 @@ from pyspark.sql import types as T
 
 from lithoflow.llm.common import durable, map_texts, table
 
-#: Fixed lists of common words by language; a reference is learned for each of these.
+#: Fixed lists of common words by language, for which the common-word histograms count unless other lists are given.
 COMMON = {
     "de": "der die das und in zu den ist von mit sich des auf für nicht ein eine als auch es an im dem".split(),
     "en": "the of and to in a is that it for on was with as are be this by from at or an he have".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o".split(),
     "fr": "de la le et les des en un une du est que qui dans pour par sur au avec il ne pas ce à".split(),
 }
-WORDS = sorted({w for words in COMMON.values() for w in words})
 #: Classes of characters: lower, upper, digit, white space, symbol, other ASCII, beyond ASCII.
 CLASSES = 7
 SYMBOLS = b"#*$%&|<>"
@@ -28,6 +27,8 @@ MIN_WORDS_CLASSES, MIN_WORDS_COMMON = 50, 150
 MAX_CLASSES, MAX_COMMON = 0.28, 0.6
 #: Base rules: the least words, and the greatest share in percent of words in repeated windows.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
+#: Languages of a table at most: each is one row of counts at the driver. More are an error.
+LANGUAGES = 1000
 
 _FEATURES = [(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("__classes", T.ArrayType(T.LongType())), ("__common", T.ArrayType(T.LongType()))]
 
@@ -64,10 +65,15 @@ def repeated_words(ids: np.ndarray, doc: np.ndarray, n_docs: int, window: int =
     return np.bincount(doc[inside], minlength=n_docs)
 
 
-def measure():
+def listed(common: dict[str, list[str]]) -> list[str]:
+    """All words of the lists, in order: the bins of a common-word histogram but its last, which holds all other words."""
+    return sorted({w for words in common.values() for w in words})
+
+
+def measure(known: list[str]):
     """Function from texts to the feature columns."""
     of_byte = _class_table()
-    place = {w.encode(): i for i, w in enumerate(WORDS)}
+    place = {w.encode(): i for i, w in enumerate(known)}
 
     def rows(texts: list[bytes | None]):
         out: list[list] = [[] for _ in _FEATURES]
@@ -81,7 +87,7 @@ def measure():
             sizes.append(len(words))
             classes = np.bincount(of_byte[np.frombuffer(t, np.uint8)], minlength=CLASSES + 1)[:CLASSES]
             lines = [x for x in t.split(b"\n") if x.strip()]
-            common = [0] * (len(WORDS) + 1)
+            common = [0] * (len(known) + 1)
             for w, n in Counter(filter(place.__contains__, t.lower().split())).items():
                 common[place[w]] = n
             common[-1] = len(words) - sum(common)
@@ -98,15 +104,18 @@ def measure():
     return rows
 
 
-def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    return map_texts(docs, text, keep, _FEATURES, measure)
+def features(docs: DataFrame, keep: list[str], text: str = "text", common: dict[str, list[str]] = COMMON) -> DataFrame:
+    known = listed(common)
+    return map_texts(docs, text, keep, _FEATURES, lambda: measure(known))
 
 
-def references(measured: DataFrame, lang: str) -> dict[str, tuple[list[float], list[float]]]:
-    """Summed class and common-word counts of all rows of each language in COMMON: one row a language."""
-    sums = [F.sum(F.col("__classes")[i]).alias(f"k{i}") for i in range(CLASSES)] + [F.sum(F.col("__common")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
-    got = measured.where(F.col(lang).isin(list(COMMON))).groupBy(F.col(lang).alias("lang")).agg(*sums).collect()
-    return {r["lang"]: ([float(r[f"k{i}"]) for i in range(CLASSES)], [float(r[f"w{i}"]) for i in range(len(WORDS) + 1)]) for r in got}
+def references(measured: DataFrame, lang: str, bins: int) -> dict[str, tuple[list[float], list[float]]]:
+    """Summed class and common-word counts of all rows of each language in the table: one row a language."""
+    sums = [F.sum(F.col("__classes")[i]).alias(f"k{i}") for i in range(CLASSES)] + [F.sum(F.col("__common")[i]).alias(f"w{i}") for i in range(bins)]
+    got = measured.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(*sums).limit(LANGUAGES + 1).collect()
+    if len(got) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    return {r["lang"]: ([float(r[f"k{i}"]) for i in range(CLASSES)], [float(r[f"w{i}"]) for i in range(bins)]) for r in got}
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -121,18 +130,19 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total > 0, np.sqrt(np.clip((half(p) + half(q)) / 2, 0, 1)), 0)
 
 
-def quality(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", max_classes: float = MAX_CLASSES, max_common: float = MAX_COMMON, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED) -> DataFrame:
+def quality(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", max_classes: float = MAX_CLASSES, max_common: float = MAX_COMMON, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, common: dict[str, list[str]] = COMMON, guards: tuple[int, int] = (MIN_WORDS_CLASSES, MIN_WORDS_COMMON)) -> DataFrame:
     """keep's columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, js_classes, js_common.
 
-    References are the summed histograms of all rows of a language; a text is held against the nearest of them, so its
-    own language doesn't matter. Without any row of a known language nothing is rejected but by the base rules. A text
-    of fewer words than the guards is not judged by that distribution. Null and empty texts have no word and fail the
+    References are the summed histograms of all rows of a language, one for every language of the table; a text is held
+    against the nearest of them, so its own language doesn't matter. common: lists of words, by language, whose counts
+    make up the second histogram; languages without a list have a reference over the same words. Without any row with a language
+    nothing is rejected but by the base rules. A text of fewer words than guards (classes, common words) is not judged by that distribution. Null and empty texts have no word and fail the
     base rules. Repeated rows are judged one by one; columns that aren't kept don't matter, and kept ones named like a result give way to it.
     """
     same = "__lang"
     keep = [k for k in keep if k not in (*(n for n, _ in _FEATURES), "base_failed", "kept", "js_classes", "js_common")]
-    measured = durable(features(docs.withColumn(same, F.col(f"`{lang}`").cast("string")), [*keep, same], text))
-    known = references(measured, same)
+    measured = durable(features(docs.withColumn(same, F.col(f"`{lang}`").cast("string")), [*keep, same], text, common))
+    known = references(measured, same, len(listed(common)) + 1)
     base = [n for n, _ in _FEATURES[:5]]
     kept_fields = [f for f in measured.schema.fields if f.name in (*keep, *base)]
     schema = T.StructType([*kept_fields, T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("js_classes", T.DoubleType()), T.StructField("js_common", T.DoubleType())])
@@ -146,7 +156,7 @@ def quality(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "l
                 counts = np.stack(frame[column].to_numpy()) if len(frame) else np.zeros((0, 1))
                 far[column] = np.min([js_distance(counts, np.array(r[j])) for r in known.values()], axis=0) if known and len(frame) else np.zeros(len(frame))
             out["base_failed"] = (n < min_words) | (100 * frame["n_repeat_words"].to_numpy() > max_repeated * n)
-            bad = (n >= MIN_WORDS_CLASSES) & (far["__classes"] > max_classes) | (n >= MIN_WORDS_COMMON) & (far["__common"] > max_common)
+            bad = (n >= guards[0]) & (far["__classes"] > max_classes) | (n >= guards[1]) & (far["__common"] > max_common)
             out["kept"] = ~out["base_failed"] & ~bad
             out["js_classes"], out["js_common"] = far["__classes"], far["__common"]
             yield out
@@ -172,13 +182,13 @@ win AS (SELECT rid, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS s FROM (S
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM win) WHERE c > 1),
 cov AS (SELECT rid, count(DISTINCT i + j) AS n FROM rep, range({WINDOW}) r(j) GROUP BY rid),
 common AS (SELECT rid, x, count(*) AS n FROM (SELECT rid, unnest(regexp_extract_all(translate(t, '{_UPPER}', '{_LOWER}'), '{_WORD}+')) AS x FROM f)
-        WHERE x IN ({", ".join(f"'{x}'" for x in WORDS)}) GROUP BY rid, x),
+        WHERE x IN ({", ".join(f"'{x}'" for x in listed(COMMON))}) GROUP BY rid, x),
 bins AS (SELECT rid, 1 AS kind, x AS bin, n FROM common
         UNION ALL SELECT f.rid, 1, '', n_words - coalesce((SELECT sum(n) FROM common c WHERE c.rid = f.rid), 0) FROM f
         {" ".join(f"UNION ALL SELECT rid, 0, '{i}', k{i} FROM f" for i in range(CLASSES))}),
 p AS (SELECT rid, kind, bin, n / sum(n) OVER (PARTITION BY rid, kind) AS p FROM bins WHERE n > 0),
 q AS (SELECT lang, kind, bin, n / sum(n) OVER (PARTITION BY lang, kind) AS q
-      FROM (SELECT lang, kind, bin, sum(n) AS n FROM bins JOIN d USING (rid) WHERE lang IN ({", ".join(f"'{x}'" for x in COMMON)}) GROUP BY lang, kind, bin)),
+      FROM (SELECT lang, kind, bin, sum(n) AS n FROM bins JOIN d USING (rid) WHERE lang IS NOT NULL GROUP BY lang, kind, bin)),
 langs AS (SELECT DISTINCT lang FROM q),
 js AS (SELECT p.rid, p.kind, l.lang,
         sum(p * log2(2 * p / (p + coalesce(q, 0)))) + sum(CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + 1 - sum(coalesce(q, 0)) AS twice

@@ -2,6 +2,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lithoflow.llm import quality as Q
 
@@ -44,6 +46,30 @@ def test_short_texts_are_guarded(spark):
     assert Q.quality(spark.createDataFrame([(1, noise, "en"), (2, "the of and to in a " * 60, "en")], "doc_id long, text string, lang string"), ["doc_id"]).where("doc_id = 1").first()["kept"]
 
 
+def test_languages_without_a_list_have_references_too(spark):
+    import random
+
+    r = random.Random(2)
+    words = "и в не на что тот быть весь это как она они один говорить год знать река дом вода утро".split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(200)), "ru") for i in range(20)]
+    rows += [(100 + i, " ".join(r.choice("the of and to in a house river stone garden".split()) for _ in range(200)), "en") for i in range(20)]
+    rows += [(200, " ".join(f"%%{i}$$##" for i in range(200)), None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in Q.quality(frame, ["doc_id"], max_repeated=100).collect()}
+    assert all(got[i]["kept"] for i in got if i != 200) and not got[200]["kept"]
+    # own lists: both histograms tell languages apart, whatever the guards
+    mine = {"ru": words[:5], "en": ["the", "of"]}
+    got = {x["doc_id"]: x for x in Q.quality(frame.where("lang = 'ru' or doc_id = 100").withColumn("lang", F.when(F.col("doc_id") < 100, F.col("lang"))), ["doc_id"], max_repeated=100, common=mine, guards=(10**6, 10), max_common=0.3).collect()}
+    assert all(got[i]["kept"] for i in range(20)) and not got[100]["kept"]
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(Q, "LANGUAGES", 2)
+    frame = spark.createDataFrame([(i, "a b", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        Q.quality(frame, ["doc_id"])
+
+
 def test_js_distance():
     got = Q.js_distance(np.array([[1, 0], [1, 1], [0, 0]]), np.array([0, 1]))
     assert np.allclose(got, [1.0, 0.5579230452841438, 0.0])
