@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from functools import lru_cache
 
@@ -13,48 +14,107 @@ from pyspark.sql import types as T
 from lithoflow.llm.common import durable, map_texts, table
 
 CAPACITY = 2048
-#: Fillings that one search for a completion may look at, completions that a node branches on, and nodes in all.
-FILL_NODES, BRANCHES, NODES = 3000, 3, 20_000
+#: Fillings that one search for a completion may look at, completions that a node branches on, and nodes in all. Beyond
+#: them stand the best fit and the best packing found so far; every piece is placed whatever they are.
+FILL_NODES, BRANCHES, NODES = 200, 3, 20_000
 #: Pieces of one length that are numbered by one task, and the least number of such tasks a length.
 RANK_ROWS, RANK_TASKS = 250_000, 16
 
 
+def _sums(items: tuple[int, ...]) -> tuple[int, int]:
+    """Sums of any of the items, and of two or more of them, as sets of bits."""
+    one, two, none = 0, 0, 1
+    for s in items:
+        two |= (one | two) << s
+        one |= none << s
+    return none | one | two, two
+
+
+def dominated(items: tuple[int, ...], waste: int, left: dict[int, int], sizes: int) -> bool:
+    """Whether one item that is left could stand in the place of some of the items, and of more of the waste.
+
+    That item is larger than those together (none of them, one or several), or as large as two or more of them: the
+    other filling leaves smaller items, which fit wherever it fits. sizes: those with an item left, as a set of bits.
+    """
+    there = sizes
+    for s in set(items):
+        if left[s] <= items.count(s):
+            there &= ~(1 << s)
+    some, several = _sums(items)
+    spread, width = some << 1, 1
+    while width < waste:
+        more = min(width, waste - width)
+        spread |= spread << more
+        width += more
+    return bool(several & there) or waste > 0 and bool(spread & there)
+
+
+def best_fit(space: int, order: list[int], left: dict[int, int]) -> tuple[int, ...]:
+    """The largest item that fits, again and again; no filling dominates it. order: sizes, descending."""
+    items: list[int] = []
+    for s in order:
+        n = min(left[s], space // s)
+        items += [s] * n
+        space -= n * s
+    return tuple(items)
+
+
 def fillings(space: int, sizes: list[int], left: dict[int, int], most: int, limit: int = FILL_NODES) -> list[tuple[int, tuple[int, ...]]]:
     """Undominated fillings of space, as (waste, sizes), least waste first, at most `most` of them.
 
-    The best fit (always the largest that still fits) comes first as incumbent. A filling to which another item could
-    be added, or one of whose items could be a larger one, is dominated by that other; sizes descend, so that both are
-    met before. A branch ends when it can't waste less than the worst kept filling.
+    The best fit is the incumbent. Which sums the sizes from a place on can make is known as sets of bits, so that each
+    branch has an exact bound: wastes are tried from the least on, and a branch that can't come to that waste isn't entered.
+    It ends with `most` fillings or after `limit` that were looked at; the best fit is among them, or worse than all of them.
     """
-    import bisect
-
     order = sorted((s for s in sizes if s <= space and left.get(s)), reverse=True)
     if not order:
         return [(space, ())]
+    mask = (1 << (space + 1)) - 1
+    reach = [1] * (len(order) + 1)
+    for i in range(len(order) - 1, -1, -1):
+        r, copies, step = reach[i + 1], min(left[order[i]], space // order[i]), 1
+        while copies:
+            step = min(step, copies)
+            r |= r << (step * order[i])
+            copies -= step
+            step *= 2
+        reach[i] = r & mask
+    incumbent = best_fit(space, order, left)
+    there = sum(1 << s for s in order)
     negative = [-s for s in order]
     best: list[tuple[int, tuple[int, ...]]] = []
     seen = 0
-    # room, position from which sizes may be taken, items so far
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(space, 0, ())]
-    while stack and seen < limit:
-        room, at, items = stack.pop()
-        seen += 1
-        at = max(at, bisect.bisect_left(negative, -room))
-        while at < len(order) and items.count(order[at]) >= left[order[at]]:
-            at += 1
-        if at == len(order):
-            if not any(s <= room and items.count(s) < left[s] for s in order[bisect.bisect_left(negative, -room) :]):
-                best = sorted({*best, (room, items)}, key=lambda x: (x[0], len(x[1])))[:most]
-                if best[0][0] == 0 and len(best) >= most:
-                    break
-                if best[0][0] == 0 and most == 1:
-                    break
+    for waste in range(space + 1):
+        if len(best) >= most or seen >= limit:
+            break
+        if not reach[0] >> (space - waste) & 1:
             continue
-        size = order[at]
-        # popped last: leaving this size out, where two smaller ones may do better
-        stack.append((room, at + 1, items))
-        stack.append((room - size, at, (*items, size)))
-    return best or [(space, ())]
+        # sum still to make, place from which on, copies to try there at most, items so far; the largest items are tried first
+        stack: list[tuple[int, int, int, tuple[int, ...]]] = [(space - waste, 0, space, ())]
+        while stack and len(best) < most and seen < limit:
+            room, at, copies, items = stack.pop()
+            if not room:
+                seen += 1
+                if not dominated(items, waste, left, there):
+                    best.append((waste, items))
+                continue
+            fits = bisect.bisect_left(negative, -room, at)
+            if fits > at:
+                at, copies = fits, space
+            while at < len(order) and reach[at] >> room & 1:
+                s = order[at]
+                copies = min(copies, left[s], room // s)
+                while copies and not reach[at + 1] >> (room - copies * s) & 1:
+                    copies -= 1
+                if copies:
+                    stack.append((room, at, copies - 1, items) if copies > 1 else (room, at + 1, space, items))
+                    stack.append((room - copies * s, at + 1, space, (*items, *[s] * copies)))
+                    break
+                at, copies = at + 1, space
+    own = (space - sum(incumbent), incumbent)
+    if own not in best and len(best) < most:
+        best = sorted([*best, own], key=lambda x: x[0])
+    return best
 
 
 def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:

@@ -42,14 +42,46 @@ def test_few_bins_at_small_sizes():
         assert sum(n for n, _ in patterns) == fewest(items, 20), items
 
 
+def all_fillings(space, left):
+    sizes = sorted(left, reverse=True)
+
+    def go(i, room):
+        if i == len(sizes):
+            yield ()
+            return
+        for n in range(min(left[sizes[i]], room // sizes[i]), -1, -1):
+            for rest in go(i + 1, room - n * sizes[i]):
+                yield (sizes[i],) * n + rest
+
+    return list(go(0, space))
+
+
+def exchange(items, space, left):
+    """Whether an item that is left is larger than some of the items together, or as large as several, and fits in their place."""
+    waste = space - sum(items)
+    for k in range(len(items) + 1):
+        for some in itertools.combinations(items, k):
+            for t in left:
+                if left[t] > items.count(t) and sum(some) + (k < 2) <= t <= sum(some) + waste:
+                    return True
+    return False
+
+
 def test_fillings_are_undominated():
-    sizes, space = [3, 4, 5, 6], 10
-    left = {s: 2 for s in sizes}
-    got = K.fillings(space, sizes, left, 3)
-    best = min(space - sum(c) for n in range(1, 4) for c in itertools.combinations_with_replacement(sizes, n) if sum(c) <= space and all(c.count(s) <= 2 for s in c))
-    assert got[0][0] == best
-    for waste, items in got:
-        assert waste == space - sum(items) and not any(s <= waste and items.count(s) < left[s] for s in sizes)
+    r = random.Random(7)
+    for _ in range(300):
+        space = r.randint(5, 40)
+        left = {r.randint(1, 25): r.randint(1, 3) for _ in range(r.randint(1, 6))}
+        got = K.fillings(space, list(left), left, 3, 10**6)
+        want = sorted({f for f in all_fillings(space, left) if not exchange(f, space, left)}, key=lambda f: space - sum(f))
+        assert not any(exchange(items, space, left) for _, items in got), (space, left, got)
+        assert all(waste == space - sum(items) and all(items.count(s) <= left[s] for s in items) for waste, items in got)
+        # the least waste first, and as many as there are
+        assert [w for w, _ in got] == [space - sum(f) for f in want[:3]], (space, left, got, want)
+        few = K.fillings(space, list(left), left, 3, 1)
+        order = sorted((s for s in left if s <= space), reverse=True)
+        assert few and (few[0][1] == K.best_fit(space, order, left) or few[0][0] <= space - sum(K.best_fit(space, order, left)))
+    assert K.fillings(64, [37, 17, 8, 9], {37: 1, 17: 1, 8: 1, 9: 1}, 1)[0] == (1, (37, 17, 9))
 
 
 def test_table(spark, docs, edge_docs, no_docs, clashing):
