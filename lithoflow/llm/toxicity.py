@@ -1,8 +1,10 @@
 """Toxicity by a subsequence string kernel: Nystroem landmarks, a linear support vector machine on labelled sentences.
 
 The kernel of two words adds up all common subsequences of ORDER letters, each weighed by DECAY to the letters that it
-spans in either word; so gapped words and inserted letters count, only less. The kernel of two sentences adds up
-that of their words.
+spans in either word; so gapped words and inserted letters count, only less. It is taken in parts of the landmark's own
+and to the power of POWER, which is a kernel again, so that chance letters in common count for little. The kernel of two
+sentences adds up that of their words. No word's kernel is set to zero: pairs are left out only where fewer than ORDER
+letters are common in order, as it is zero then.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from operator import add
 
 import numpy as np
@@ -19,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithoflow.llm.common import Memo, map_texts, table
+from lithoflow.llm.common import Memo, durable, map_texts, table
 from lithoflow.llm.langid import held_out
 
-ORDER, DECAY = 4, 0.8
-#: Landmarks, their shortest and longest length, and the length from which a word may lack one of a landmark's letters; else its kernel counts as zero.
-LANDMARKS, SHORTEST, LONGEST, LACK = 40, 4, 10, 7
+ORDER, DECAY, POWER = 4, 0.8, 3
+#: Landmarks (a word's beginning counts together with its letters anywhere), their shortest and longest length.
+LANDMARKS, SHORTEST, LONGEST = 40, 4, 10
 #: Chance pieces that may be among the landmarks, in expectation, if labels were dealt out at random, and pieces then reckoned with.
 CHANCE = 0.2
 PIECES = 100_000
@@ -32,14 +35,26 @@ PIECES = 100_000
 RARE, INSIDE = 0.2, 0.004
 #: Stands before each word's first letter, so that a landmark can be a word's beginning.
 MARK = "\x02"
+#: What the kernel reads for MARK: two symbols, so that a word that only holds a beginning's letters is far from it.
+BEGIN = "\x02\x04"
 #: Letters of a word that are compared at a time; longer ones go window by window, half overlapping.
 WIDTH = 32
 #: Least word hashes by which copies among the labelled texts are told.
 SKETCH = 4
-#: Part of a landmark's own kernel that makes a toxic text's sentence a labelled one, and that makes it a text by itself.
-WITNESS, ALONE = 0.4, 0.75
-#: Labelled texts of either class that the classifier is fitted to at most, and code points that a text for it may have.
-SAMPLE, SAMPLE_TEXT = 1500, 30_000
+#: Kernel with a landmark that makes a toxic text's sentence a labelled one, and that makes a clean one count among those all fitted to.
+WITNESS, TOUCH = 0.1, 0.02
+#: Share of clean texts whose margins a toxic sentence may not pass without being a text by itself.
+ALONE = 0.01
+#: Weight of all clean sentences, of which each has little, against all toxic ones.
+CLEAN = 40.0
+#: Weight of all sentences that are texts by themselves, where either class of whole texts has a half.
+VIRTUAL = 0.05
+#: Letters inserted in words of labelled sentences at most, and the margin below which words are alike to the curve.
+GAPS, FAINT = 3, 0.02
+#: Clean sentences below TOUCH that are fitted to at most, evenly spaced.
+OTHERS = 2000
+#: Labelled texts of either class that the classifier is fitted to at most, and code points that a text for it has at most, unless others are given.
+SAMPLE, LONGEST_TEXT = 1500, 30_000
 #: Shrinkage of the curve that turns margins into scores.
 SHRINK = 1e-4
 #: Letters of neighbouring words that are also read as one, and of a word that may stand inside such a row of three or more.
@@ -140,45 +155,28 @@ def common_letters(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.bitwise_count(here)
 
 
-def shortest_span(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Letters of s[i] from the first to the last of t[i]'s letters in order, where they stand closest; 1,000 if s[i] lacks some."""
-    n, k = t.shape
-    last = (t != 0).sum(1) - 1
-    begun = np.full((n, k), -1000)  # where the letters so far began, latest first
-    best = np.full(n, 1000)
-    for a in range(s.shape[1]):
-        same = (t == s[:, a, None]) & (t != 0)
-        begun[:, 1:] = np.where(same[:, 1:], begun[:, :-1], begun[:, 1:])
-        begun[same[:, 0], 0] = a
-        ends = same[np.arange(n), last]
-        best = np.where(ends, np.minimum(best, a + 1 - begun[np.arange(n), last]), best)
-    return np.minimum(best, 1000)
-
-
 class Landmarks:
     def __init__(self, names: list[str]):
         self.names = names
-        self.codes = _codes(names, LONGEST)
+        spelled = [x.replace(MARK, BEGIN) for x in names]
+        self.codes = _codes(spelled, LONGEST + len(BEGIN) - 1)
         self.bits = _bits(self.codes)
-        own = kernel_pairs(self.codes, self.codes)
-        self.own = own
-        self.length = np.array([len(x) for x in names], int)
-        self.marked = np.array([x.startswith(MARK) for x in names], bool)
-        self.gate = np.array([len(x) - (len(x) >= LACK) for x in names], int)
-        # so many different letters must be common at least
-        self.least = np.bitwise_count(self.bits).astype(int) - np.array([len(x) for x in names], int) + self.gate
+        self.own = kernel_pairs(self.codes, self.codes)
+        lengths = np.array([len(x) for x in spelled], int)
+        # with ORDER letters in common, so many different ones are common at least
+        self.least = np.bitwise_count(self.bits).astype(int) - lengths + ORDER
 
     def gram(self) -> np.ndarray:
         n = len(self.names)
         i, j = np.divmod(np.arange(n * n), n)
-        return (kernel_pairs(self.codes[i], self.codes[j]) / np.sqrt(self.own[i] * self.own[j])).reshape(n, n)
+        return (kernel_pairs(self.codes[i], self.codes[j]) / np.sqrt(self.own[i] * self.own[j])).reshape(n, n) ** POWER
 
     def columns(self, words: list[str]) -> np.ndarray:
-        """Kernels of words with all landmarks, in parts of the landmarks' own, (words, landmarks); zero for words that lack too many of a landmark's letters."""
+        """Kernels of words with all landmarks, (words, landmarks); of a long word the greatest of its windows'."""
         out = np.zeros((len(words), len(self.names)))
         pieces, of = [], []
         for i, w in enumerate(words):
-            w = MARK + w
+            w = BEGIN + w
             for a in range(0, max(1, len(w) - WIDTH // 2), WIDTH // 2):
                 pieces.append(w[a : a + WIDTH])
                 of.append(i)
@@ -195,23 +193,20 @@ class Landmarks:
             take = order[a : a + 8192]
             r, c = rows[take], marks[take]
             codes = _codes([pieces[x] for x in r.tolist()], int(lengths[r].max()))
-            near = common_letters(codes, self.codes[c]) >= self.gate[c]
-            # a beginning's first letter is the word's
-            near &= ~self.marked[c] | (codes[:, 1] == self.codes[c][:, 1])
-            r, c, codes = r[near], c[near], codes[near]
-            value = kernel_pairs(codes, self.codes[c]) / self.own[c]
-            np.maximum.at(out, (of[r], c), value)
+            some = common_letters(codes, self.codes[c]) >= ORDER
+            r, c, codes = r[some], c[some], codes[some]
+            np.maximum.at(out, (of[r], c), (kernel_pairs(codes, self.codes[c]) / self.own[c]) ** POWER)
         return out
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int = LANDMARKS) -> dict[str, bool]:
+def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int = LANDMARKS) -> list[str]:
     """Pieces of words that speak for label 1 beyond chance, those of the most toxic texts first.
 
     Of n texts with a piece k are toxic; by chance that has at most the probability exp(-n KL(k/n, share of toxic
     texts)), which times PIECES must stay under CHANCE. A piece may be in clean texts at RARE of its rate in toxic ones, one from a word's
     inside at INSIDE only. Words that hold a landmark are explained: another piece needs other words. Of pieces of a
     word that about the same texts hold, the longest is taken. Pieces are counted length by length; a longer one needs both its shorter ones.
-    Each comes with whether it is pure: in clean texts at INSIDE of its rate in toxic ones at most.
+    A word's beginning comes with its letters alone, so that the machine can tell words that begin so from others that hold them.
     """
     share = len(toxic) / (len(toxic) + len(clean))
     need = math.log(PIECES / CHANCE)
@@ -260,13 +255,13 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], count: int =
         explained |= holders[best] | holders[p]
         if len(out) == count:
             break
-    return {p: rate[p] < INSIDE for p in out}
+    return list(dict.fromkeys([*out, *(p.lstrip(MARK) for p in out)]))
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, steps: int = 2000) -> tuple[np.ndarray, float]:
-    """A linear support vector machine with squared hinge loss, classes weighed alike, by accelerated gradient descent."""
+    """A linear support vector machine with squared hinge loss, clean sentences together CLEAN times the weight of toxic ones, by accelerated gradient descent."""
     sign = np.where(y > 0, 1.0, -1.0)
-    each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * cost
+    each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 * CLEAN / max(1, (y <= 0).sum())) * cost
     wide = np.hstack([x, np.ones((len(x), 1))])
     w, v = np.zeros(wide.shape[1]), np.zeros(wide.shape[1])
     top = np.linalg.norm((wide * np.sqrt(each)[:, None]), 2) ** 2
@@ -281,34 +276,28 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, steps: int = 2000) -> t
     return w[:-1], float(w[-1])
 
 
-#: What most words come to: one object, so that they are told apart quickly.
-_NOTHING = (0.0, 0.0)
-
-
 class Model:
     """Margin of a sentence: the sum of its words' margins and a constant. A text's score is a logistic curve of its
-    greatest sentence's margin, the logarithm of the squares of all its words' positive margins together, so that many faint
-    words don't come to one near word, and the nearest that a word comes to a pure landmark."""
+    greatest sentence's margin and of the logarithms of its greatest word's and of the squares of all its words' positive
+    margins together: so many faint words don't come to one near word, and a gapped one stands out from those."""
 
-    def __init__(self, names: dict[str, bool], weights: np.ndarray, constant: float, curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)):
-        self.marks, self.weights, self.constant, self.curve = Landmarks(list(names)) if names else None, weights, constant, curve
-        self.names, self.pure = list(names), np.array(list(names.values()), float)
+    def __init__(self, names: list[str], weights: np.ndarray, constant: float, curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)):
+        self.marks, self.weights, self.constant, self.curve = Landmarks(names) if names else None, weights, constant, curve
+        self.names = names
 
-    def word_values(self, words: list[str]) -> list[tuple[float, float]]:
-        """Each word's margin, and its kernel with the nearest pure landmark as part of that landmark's own, one at most."""
+    def word_margins(self, words: list[str]) -> list[float]:
         if self.marks is None:
-            return [_NOTHING] * len(words)
-        columns = self.marks.columns([w.removeprefix(ROW) for w in words])
-        return [_NOTHING if v == (0.0, 0.0) else v for v in zip((columns @ self.weights).tolist(), np.minimum(1, columns * self.pure).max(1, initial=0).tolist(), strict=True)]
+            return [0.0] * len(words)
+        return (self.marks.columns([w.removeprefix(ROW) for w in words]) @ self.weights).tolist()
 
-    def measure(self, text: str, known: dict[str, tuple[float, float]], words: set[str] | None = None) -> tuple[float, float, float]:
+    def measure(self, text: str, known: dict[str, float], words: set[str] | None = None) -> tuple[float, float, float]:
         """What the curve takes of a plain text; words: the text's and its rows of short words', if they are at hand.
 
         Only words that are not zero are added up. A row counts by what it has beyond its words, the greatest first, and
         each word is in one row at most.
         """
-        best, evidence, pure = self.constant, 0.0, 0.0
-        hits = {w: known[w] for w in ({*words_of(text), *read_as_one(text, self.names)} if words is None else words) if known[w] is not _NOTHING}
+        best, evidence, greatest = self.constant, 0.0, 0.0
+        hits = {w: v for w in ({*words_of(text), *read_as_one(text, self.names)} if words is None else words) if (v := known[w])}
         if hits:
             for s in sentences(text):
                 mine = words_of(s)
@@ -317,7 +306,7 @@ class Model:
                 for a, b, w in rows_of(mine):
                     if w in hits:
                         parts = [hits[x] for x in mine[a:b] if x in hits]
-                        more = hits[w][0] - sum([v for v, _ in parts])
+                        more = hits[w] - sum(parts)
                         if more > 0:
                             rows.append((more, a, b, hits[w], parts))
                 taken: set[int] = set()
@@ -328,10 +317,10 @@ class Model:
                             values.remove(part)
                         values.append(value)
                 if values:
-                    best = max(best, self.constant + sum([v for v, _ in values]))
-                    evidence += sum([v * v for v, _ in values if v > 0])
-                    pure = max([pure, *[p for _, p in values]])
-        return best, math.log1p(evidence), pure
+                    best = max(best, self.constant + sum(values))
+                    evidence += sum([v * v for v in values if v > 0])
+                    greatest = max(greatest, *values)
+        return best, math.log(FAINT * FAINT + evidence), math.log(FAINT + greatest)
 
     def probability(self, measured: tuple[float, float, float]) -> float:
         z = sum(a * x for a, x in zip(self.curve, (*measured, 1.0), strict=True))
@@ -348,22 +337,30 @@ def _one_of_copies(texts: list[str], words: list[set[str]], labels: list[int]) -
     return [texts[i] for i in keep], [words[i] for i in keep], [labels[i] for i in keep]
 
 
+def with_gaps(word: str, gaps: int) -> str:
+    """word with so many letters inserted, each at a place inside that a hash chooses."""
+    for _ in range(gaps):
+        h = zlib.crc32(word.encode("utf-8", "replace"))
+        at = 1 + h % max(1, len(word) - 1)
+        word = word[:at] + chr(97 + (h >> 8) % 26) + word[at:]
+    return word
+
+
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Landmarks from the labelled texts; sentences of clean texts against those of toxic texts that speak for label 1.
 
     These are the sentences with a word near a landmark, and each toxic text's greatest sentence, by landmark hits at
-    first and by the machine's own margins then. A logistic curve
-    through the texts' margins gives scores. Without texts of both classes all scores are the share of label 1.
+    first and by the machine's own margins then. A logistic curve through the texts' margins gives scores. Without texts of both classes all scores are the share of label 1.
     """
     texts = [plain(t) for t in texts]
     words = [{w.strip(_EDGE) for w in words_of(t)} for t in texts]
     texts, words, labels = _one_of_copies(texts, words, labels)
     toxic, clean = [w for w, y in zip(words, labels, strict=True) if y], [w for w, y in zip(words, labels, strict=True) if not y]
     share = (len(toxic) + 1) / (len(texts) + 2)
-    names = choose_landmarks(toxic, clean) if toxic and clean else {}
+    names = choose_landmarks(toxic, clean) if toxic and clean else []
     if not names:
-        return Model({}, np.zeros(0), 0.0, (0.0, 0.0, 0.0, math.log(share / (1 - share))))
-    marks = Landmarks(list(names))
+        return Model([], np.zeros(0), 0.0, (0.0, 0.0, 0.0, math.log(share / (1 - share))))
+    marks = Landmarks(names)
     known = sorted(set().union(*words)) or [""]
     place = {w: i for i, w in enumerate(known)}
     columns = marks.columns(known)
@@ -386,23 +383,34 @@ def fit(texts: list[str], labels: list[int]) -> Model:
                 best[doc_of[i]] = i
         against = np.nonzero(y == 0)[0]
         # of clean sentences all that touch a landmark, and as many of the others as make no difference
-        touched = raw[against].any(1)
+        touched = raw[against].max(1) >= TOUCH
+        far = against[~touched]
         witness = np.array(sorted({*best.values(), *np.nonzero((y > 0) & (raw.max(1) >= WITNESS))[0].tolist()}), int)
-        use = np.concatenate([witness, against[touched], against[~touched][:2000]])
+        use = np.concatenate([witness, against[touched], far[:: max(1, len(far) // OTHERS)]])
         w, constant = svm(x[use], y[use])
         margin = x @ w + constant
     model = Model(names, root @ w, constant)
     one = sorted({w.strip(_EDGE) for t in texts for w in read_as_one(t, model.names)})
-    value = dict(zip([*known, *one], model.word_values([*known, *one]), strict=True))
-    measure = lambda t: model.measure(t, {v: value[v.strip(_EDGE)] for v in (*words_of(t), *read_as_one(t, model.names))})
-    # a logistic curve, classes weighed alike, by Newton's steps with a little shrinkage; toxic sentences near a pure
-    # landmark are texts too, so that one such word is enough
-    alone = [m for t, y in zip(texts, labels, strict=True) if y for s in sentences(t) if (m := measure(s))[2] >= ALONE]
-    x2 = np.array([measure(t) for t in texts] + alone)
+    value = dict(zip([*known, *one], model.word_margins([*known, *one]), strict=True))
+
+    def measure(t: str) -> tuple[float, float, float]:
+        return model.measure(t, {v: value[v.strip(_EDGE)] for v in (*words_of(t), *read_as_one(t, names))})
+
+    # a logistic curve, classes weighed alike, by Newton's steps with a little shrinkage; toxic sentences of a margin that
+    # hardly any clean text has are texts too, each also with letters inserted in its words that speak for label 1, so
+    # that one such sentence is enough, and gaps in its words no way around
+    measured = [measure(t) for t in texts]
+    sure = max(0.0, float(np.quantile([m[0] for m, y in zip(measured, labels, strict=True) if not y], 1 - ALONE)))
+    strong = [s for t, y in zip(texts, labels, strict=True) if y for s in sentences(t) if measure(s)[0] > sure]
+    gapped = [" ".join(with_gaps(b, 1 + i % GAPS) if value[b] > WITNESS else b for w in words_of(s) if (b := w.strip(_EDGE))) for i, s in enumerate(strong)]
+    new = sorted({w for s in gapped for w in (*words_of(s), *read_as_one(s, names)) if w.strip(_EDGE) not in value})
+    value |= dict(zip([w.strip(_EDGE) for w in new], model.word_margins([w.strip(_EDGE) for w in new]), strict=True))
+    alone = [measure(s) for s in (*strong, *gapped)]
+    x2 = np.array(measured + alone)
     x2 = np.hstack([x2, np.ones((len(x2), 1))])
     target = np.array([*labels, *[1] * len(alone)], float)
     whole = np.arange(len(target)) < len(texts)
-    weight = np.where(target > 0, np.where(whole, 0.5 / max(1, sum(labels)), 0.5 / max(1, len(alone))), 0.5 / (1 - target).sum())
+    weight = np.where(target > 0, np.where(whole, 0.5 / max(1, sum(labels)), VIRTUAL / max(1, len(alone))), 0.5 / (1 - target).sum())
     soft = np.where(target > 0, (target.sum() + 1) / (target.sum() + 2), 1 / ((1 - target).sum() + 2))
     curve = np.zeros(4)
     for _ in range(200):
@@ -420,10 +428,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 def scorer(model: Model):
     memo = Memo(WORDS)
 
-    def values(new: list[str]) -> list[tuple[float, float]]:
+    def values(new: list[str]) -> list[float]:
         bare = [w.strip(_EDGE) for w in new]
         different = sorted(set(bare))
-        value = dict(zip(different, model.word_values(different), strict=True))
+        value = dict(zip(different, model.word_margins(different), strict=True))
         return [value[b] for b in bare]
 
     def score(texts: list[bytes | None]):
@@ -436,17 +444,32 @@ def scorer(model: Model):
     return score
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fits a model to at most `sample` labelled texts of either class, chosen by a hash of their ids; more are not needed, fewer are all used.
+_LATEST: dict[tuple, Callable] = {}
+
+
+def shared_scorer(model: Model):
+    """The scorer of this model that the worker has already, with what it remembers of words from earlier tasks."""
+    key = (tuple(model.names), model.weights.tobytes(), model.constant, model.curve)
+    if key not in _LATEST:
+        _LATEST.clear()
+        _LATEST[key] = scorer(model)
+    return _LATEST[key]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST_TEXT) -> Model:
+    """Fits a model to at most `sample` labelled texts of either class of at most `longest` code points, drawn by a hash of their ids.
 
-    The labels are chosen first, so that only the chosen texts are read to the driver; of those, texts of more than
-    SAMPLE_TEXT code points are left out. Rows with a null id, label or text teach nothing.
+    More are not needed, fewer are all used; the draw is made among the texts that are short enough, and only drawn ones
+    are read to the driver. Rows with a null id, label or text teach nothing; of rows with one id the text first in order does.
     """
-    marked = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label) > 0).cast("int").alias("__y"))
-    parts = [marked.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample) for y in (0, 1)]
+    marked = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label) > 0).cast("int").alias("__y")).dropDuplicates(["__id"])
+    own = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("__t"))
+    fit_in = own.where(F.length("__t") <= longest)
+    there = durable(marked.join(fit_in.select("__id").distinct(), "__id", "left_semi"))
+    parts = [there.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * sample rows
-    rows = docs.join(chosen, docs[id_col] == chosen["__id"]).where(F.col(text).isNotNull() & (F.length(F.col(text).cast("string")) <= SAMPLE_TEXT)).select("__id", F.col(text).cast("string").alias("__t"), "__y").toPandas()
-    rows = rows.sort_values(["__id", "__t"], kind="stable").drop_duplicates(["__id"])
+    rows = fit_in.join(chosen, "__id").groupBy("__id", "__y").agg(F.min("__t").alias("__t")).toPandas()
+    rows = rows.sort_values(["__id"], kind="stable")
     return fit(rows["__t"].tolist(), rows["__y"].tolist())
 
 
@@ -457,7 +480,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     texts are scored whole, their greatest sentence counting; repeated rows are scored one by one.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    return map_texts(docs, text, keep, [("score", T.DoubleType()), ("predicted", T.IntegerType())], lambda: scorer(model))
+    return map_texts(docs, text, keep, [("score", T.DoubleType()), ("predicted", T.IntegerType())], lambda: shared_scorer(model))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

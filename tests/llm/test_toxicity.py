@@ -28,9 +28,25 @@ def test_kernel_and_common_letters():
     s, t = X._codes([a for a, _ in pairs], 11), X._codes([b for _, b in pairs], 8)
     assert np.allclose(X.kernel_pairs(s, t), [brute(a, b) for a, b in pairs])
     assert X.common_letters(s, t).tolist() == [lcs(a, b) for a, b in pairs]
-    spans = [min((j - i for i in range(len(a)) for j in range(i + 1, len(a) + 1) if b and lcs(a[i:j], b) == len(b)), default=1000) for a, b in pairs if b]
-    full = [k for k, (_, b) in enumerate(pairs) if b]
-    assert X.shortest_span(s[full], t[full]).tolist() == spans
+
+
+def test_columns_are_whole_kernels():
+    """Every word's kernel with every landmark, of a long word its windows' greatest; none is set to zero."""
+    r = random.Random(2)
+    names = ["moron", "stupid", X.MARK + "idio", "abcabcabca", "aaaa", X.MARK + "été", "日本語x"]
+    words = ["", "a", "xx", "moron", "mo" + "x" * 6 + "ron", "m~o~r~o~n", "ixdxixot", "sxtxuxpid", "idio", "lidio", "aaaaaaa", "été", "x日本語x", "nstu" * 20 + "pid"]
+    words += ["".join(r.choice("abcidomrstup") for _ in range(r.randint(1, 14))) for _ in range(150)]
+    marks = X.Landmarks(names)
+    spell = lambda x: x.replace(X.MARK, X.BEGIN)
+    own = [brute(spell(n), spell(n)) for n in names]
+    assert np.allclose(marks.own, own)
+    got = marks.columns(words)
+    for w, row in zip(words, got):
+        w = X.BEGIN + w
+        windows = [w[a : a + X.WIDTH] for a in range(0, max(1, len(w) - X.WIDTH // 2), X.WIDTH // 2)]
+        assert np.allclose(row, [max(brute(v, spell(n)) / o for v in windows) ** X.POWER for n, o in zip(names, own)]), w
+    gram = marks.gram()
+    assert np.allclose(gram, gram.T) and np.linalg.eigvalsh(gram).min() > -1e-9 and np.allclose(np.diag(gram), 1)
 
 
 def sample(seed, n):
@@ -70,14 +86,6 @@ def short_insults():
 
 
 def test_wide_gaps_are_weighed_not_dropped():
-    marks = X.Landmarks(["moron", X.MARK + "idio"])
-    for n in range(1, 7):
-        words = ["mo" + "x" * n + "ron", "mor" + "o" * n + "n", "i" + "d" * n + "iot"]
-        got = marks.columns(words)
-        for w, row in zip(words, got):
-            for name, own, value in zip(marks.names, marks.own, row):
-                assert value == 0 if X.common_letters(X._codes([X.MARK + w], 32), X._codes([name], 10))[0] < len(name) else np.isclose(value, brute(X.MARK + w, name) / own)
-        assert got[0, 0] > 0 and got[1, 0] > 0 and got[2, 1] > 0
     bad, _, score = short_insults()
     clean = score(["you are a river here"])[0]
     for w in bad:
@@ -123,6 +131,39 @@ def test_memo_and_batches_give_the_same(spark, monkeypatch):
     assert np.allclose(whole, [f([d])[0][0] for d in data])
 
 
+def test_sample_is_drawn_among_short_texts(spark):
+    docs = spark.createDataFrame([(i, ("bad blorfnik text " if i % 2 else "green river stone ") * (1 + 100 * (i < 20))) for i in range(60)] + [(3, "again"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(4, 0)], "doc_id long, toxic int")
+    seen = []
+    keep = X.fit
+    X.fit = lambda t, y: seen.append((t, y)) or keep(t, y)
+    try:
+        X.train(docs, labels, sample=15, longest=1000)
+        X.train(docs, labels, longest=10**6)
+    finally:
+        X.fit = keep
+    (few, marks), (all_texts, _) = seen
+    assert len(few) == 30 and sum(marks) == 15 and max(map(len, few)) <= 1000 and len(all_texts) == 60
+
+
+def test_landmarks_of_several_languages():
+    r = random.Random(4)
+    stems = {"en": "the house of water with green garden".split(), "xx": "zugo querla wolki zwirna juxo".split()}
+    bad = {"en": "blorfnik", "xx": "trumpazi"}
+    texts = []
+    for i in range(600):
+        g = ("en", "xx")[i % 2]
+        words = [r.choice(stems[g]) + r.choice(["", "s", "a", f"{r.randint(0, 99)}"]) for _ in range(30)]
+        if i % 3 == 0:
+            words[5:5] = [bad[g], bad[g] + "s"]
+        texts.append((" ".join(words), int(i % 3 == 0), g))
+    model = X.fit([t for t, _, _ in texts], [y for _, y, _ in texts])
+    score = lambda t: X.scorer(model)([t.encode()])[0][0]
+    for g in bad:
+        mine = np.array([(score(t) >= X.THRESHOLD, y) for t, y, h in texts if h == g])
+        assert mine[mine[:, 1] == 1, 0].mean() > 0.95 and mine[mine[:, 1] == 0, 0].mean() < 0.02
+
+
 def test_held_out_accuracy(spark):
     rows = X.op4(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
