@@ -26,17 +26,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id, null ids last, then the least hash of its text.
+    """One document of each group of near-duplicates: that with the smallest id, null ids last, then the least hash of id and text.
 
     Rows are told apart by id and text, so that of rows with one id each is judged by its own text; rows equal in both are one.
     """
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("__k1", F.xxhash64(text)).withColumn("__k2", F.xxhash64(text, F.lit(1)))
+    keyed = docs.withColumn("__k1", F.xxhash64("doc_id", text)).withColumn("__k2", F.xxhash64(text, "doc_id", F.lit(1)))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k1", "__k2")
     found = simhash.near_duplicates(keyed.select("text", row.alias("__row")), id_col="__row", keep=["__row"])
-    stay = found.where(F.col("__row") == F.col("component_id")).select("__row.*").distinct()
-    same = [keyed["doc_id"].eqNullSafe(stay["doc_id"]), keyed["__k1"] == stay["__k1"], keyed["__k2"] == stay["__k2"]]
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "__k1", "__k2"]).select(*docs.columns)
+    stay = found.where(F.col("__row") == F.col("component_id")).select("__row.__k1", "__row.__k2").distinct()
+    return keyed.join(stay, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
