@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lithoflow.llm.anchors import WINDOW, anchors
-from lithoflow.llm.common import chunks, saved, table
+from lithoflow.llm.common import CHUNK_BYTES, chunks, saved, table
 from lithoflow.llm.gsaca import common_prefixes, suffix_array
 
 #: Windows in a block, a power of two; their common core has window - BLOCK + 1 bytes.
@@ -107,21 +107,24 @@ def _cut_blocks(batches, window: int = WINDOW):
     before = None
     for batch in batches:
         out = []
-        for k1, k2, packed, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i in range(batch.num_rows):
+            k1, k2 = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
             if (k1, k2) == before:
                 continue
             before = k1, k2
-            text = _unpack(packed)
-            for r in listed:
-                first, last, place = r["first"], r["last"], r["place"]
-                for m in range((place - last) // BLOCK, (place - first) // BLOCK + 1):
-                    core = place - BLOCK * m  # the block's windows begin at core - 15 to core
-                    a, b = max(first, core - BLOCK + 1), min(last, core)
-                    key = _halves(xxh3_128_digest(text[core : core + core_size] + m.to_bytes(4, "little", signed=True)))
-                    out.append((*key, k1, k2, core, text[a:core], text[core + core_size : b + window], r["decided"]))
-            if len(out) >= 20_000:
-                yield _batch(out, schema)
-                out = []
+            text = _unpack(batch.column(2)[i].as_py())
+            listed = batch.column(3)[i].values  # an array of structs: no object for each anchor is made
+            for a in range(0, len(listed), 4096):
+                columns = (c.to_pylist() for c in listed.slice(a, 4096).flatten())
+                for first, last, place, decided in zip(*columns, strict=True):
+                    for m in range((place - last) // BLOCK, (place - first) // BLOCK + 1):
+                        core = place - BLOCK * m  # the block's windows begin at core - 15 to core
+                        x, y = max(first, core - BLOCK + 1), min(last, core)
+                        key = _halves(xxh3_128_digest(text[core : core + core_size] + m.to_bytes(4, "little", signed=True)))
+                        out.append((*key, k1, k2, core, text[x:core], text[core + core_size : y + window], decided))
+                if len(out) >= 20_000:
+                    yield _batch(out, schema)
+                    out = []
         if out:
             yield _batch(out, schema)
 
@@ -339,10 +342,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
     def remove(batches):
         arrow = _arrow(schema)
         for batch in batches:
-            out = [[] for _ in new]
-            for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                t = _unpack(data)
-                runs = removed_runs([(s["first"], s["last"]) for s in found or ()], window, t, min_words)
+            out, begun, size = [[] for _ in new], 0, 0
+
+            def made(stop: int):
+                return pa.RecordBatch.from_arrays([batch.column(0).slice(begun, stop - begun).cast(arrow.field(0).type), *[pa.array(x, arrow.field(i + 1).type) for i, x in enumerate(out)]], schema=arrow)  # noqa: B023
+
+            for row in range(batch.num_rows):
+                if size > CHUNK_BYTES:
+                    yield made(row)
+                    out, begun, size = [[] for _ in new], row, 0
+                t, found = _unpack(batch.column(1)[row].as_py()), batch.column(2)[row].values
+                size += len(t)
+                runs = removed_runs(list(zip(*(c.to_pylist() for c in found.flatten()), strict=True)) if found is not None else [], window, t, min_words)
                 at, left = 0, []
                 for a, b in runs:
                     left.append(t[at:a])
@@ -351,7 +362,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
                 kept = b"".join(left)
                 for column, value in zip(out, (len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *[pa.array(x, arrow.field(i + 1).type) for i, x in enumerate(out)]], schema=arrow)
+            yield made(batch.num_rows)
 
     return packed.join(spans, _KEY, "left").select("row", "t", "spans").mapInArrow(remove, schema).select("row.*", *[n for n, _ in new])
 
