@@ -61,6 +61,8 @@ SHRINK = 1e-4
 JOINED, BETWEEN = LONGEST + 2, 2
 #: Stands before a row of words read as one; it must hold a landmark in one piece, as most neighbours share some letters with one by chance.
 ROW = "\x03"
+#: Pairs of words whose kernels are taken at a time, and steps that words' margins are rounded to.
+PAIRS, STEP = 1024, 0.01
 #: Words whose margins a worker remembers, and texts' words that go through the kernel at a time.
 WORDS = 300_000
 THRESHOLD = 0.7
@@ -99,11 +101,23 @@ def rows_of(words: list[str]) -> list[tuple[int, int, str]]:
     return out
 
 
-def read_as_one(text: str, landmarks: list[str]) -> set[str]:
-    """A text's rows of words that hold a landmark in one piece."""
-    whole = "".join(words_of(text))
+def parts_of(text: str) -> list[list[str]]:
+    """The words of each sentence that has any, as words_of gives them."""
+    cut = _SENTENCE.sub("\n", text)
+    for mark in ".!?":
+        cut = cut.replace(mark, " ")
+    return [w for s in cut.split("\n") if (w := s.split())]
+
+
+def read_as_one(parts: list[list[str]], landmarks: list[str]) -> set[str]:
+    """A text's rows of words that hold a landmark in one piece; parts: its sentences' words."""
+    whole = "".join(["".join(p) for p in parts])
     near = [n.replace(MARK, ROW) for n in landmarks if n.lstrip(MARK) in whole]
-    return {w for s in sentences(text) for _, _, w in rows_of(words_of(s)) if any(n in w for n in near)} if near else set()
+    return {w for p in parts for _, _, w in rows_of(p) if any(n in w for n in near)} if near else set()
+
+
+def vocabulary(parts: list[list[str]], landmarks: list[str]) -> set[str]:
+    return {*(w for p in parts for w in p), *read_as_one(parts, landmarks)}
 
 
 def sentences(text: str) -> list[str]:
@@ -118,23 +132,26 @@ def _codes(words: list[str], width: int) -> np.ndarray:
 
 def kernel_pairs(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """The subsequence kernel of s[i] and t[i], rows of code points padded by zeros, for all i at once."""
+    if len(s) > PAIRS:
+        return np.concatenate([kernel_pairs(s[a : a + PAIRS], t[a : a + PAIRS], order, decay) for a in range(0, len(s), PAIRS)])
     n, m, k = len(s), s.shape[1], t.shape[1]
-    # weight[j]: of subsequences of the letters so far of s and of t[:j], with the letters after them counted as a gap
-    weight = np.ones((n, m + 1, k + 1))
-    for step in range(order - 1):
+    # pairs come last, so that each step runs through neighbouring memory
+    letters = np.ascontiguousarray(t.T)
+    same = ((np.ascontiguousarray(s.T)[:, None, :] == letters[None]) & (letters != 0)) * (decay * decay)
+    # weight[a, b]: of subsequences of the letters so far of s[:a] and of t[:b], with the letters after them counted as a gap
+    weight = np.ones((m + 1, k + 1, n))
+    for _ in range(order - 1):
         new = np.zeros_like(weight)
-        for a in range(1, m + 1):
+        ends = same * weight[:-1, :-1]
+        for a in range(m):
             run = np.zeros(n)
-            for b in range(1, k + 1):
-                same = (s[:, a - 1] == t[:, b - 1]) & (t[:, b - 1] != 0)
-                run = decay * (run + np.where(same, decay * weight[:, a - 1, b - 1], 0.0))
-                new[:, a, b] = decay * new[:, a - 1, b] + run
+            for b in range(k):
+                run *= decay
+                run += ends[a, b]
+                np.multiply(new[a, b + 1], decay, out=new[a + 1, b + 1])
+                new[a + 1, b + 1] += run
         weight = new
-    total = np.zeros(n)
-    for a in range(1, m + 1):
-        same = (s[:, a - 1, None] == t) & (t != 0)
-        total += (same * weight[:, a - 1, :-1]).sum(1) * decay * decay
-    return total
+    return (same * weight[:-1, :-1]).sum((0, 1))
 
 
 def _bits(codes: np.ndarray) -> np.ndarray:
@@ -183,7 +200,8 @@ class Landmarks:
         if not pieces or not self.names:
             return out
         of = np.array(of)
-        bits = _bits(_codes(pieces, WIDTH))
+        every = _codes(pieces, WIDTH)
+        bits = _bits(every)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         hit = np.bitwise_count(bits[:, None] & self.bits[None, :]) >= self.least[None, :]
         rows, marks = np.nonzero(hit & (lengths >= ORDER)[:, None])
@@ -192,7 +210,7 @@ class Landmarks:
         for a in range(0, len(order), 8192):
             take = order[a : a + 8192]
             r, c = rows[take], marks[take]
-            codes = _codes([pieces[x] for x in r.tolist()], int(lengths[r].max()))
+            codes = every[r, : int(lengths[r].max())]
             some = common_letters(codes, self.codes[c]) >= ORDER
             r, c, codes = r[some], c[some], codes[some]
             np.maximum.at(out, (of[r], c), (kernel_pairs(codes, self.codes[c]) / self.own[c]) ** POWER)
@@ -288,38 +306,38 @@ class Model:
     def word_margins(self, words: list[str]) -> list[float]:
         if self.marks is None:
             return [0.0] * len(words)
-        return (self.marks.columns([w.removeprefix(ROW) for w in words]) @ self.weights).tolist()
+        margins = self.marks.columns([w.removeprefix(ROW) for w in words]) @ self.weights
+        return (np.round(margins / STEP) * STEP).tolist()
 
-    def measure(self, text: str, known: dict[str, float], words: set[str] | None = None) -> tuple[float, float, float]:
-        """What the curve takes of a plain text; words: the text's and its rows of short words', if they are at hand.
+    def measure(self, parts: list[list[str]], known: dict[str, float], words: set[str]) -> tuple[float, float, float]:
+        """What the curve takes of a text; parts: its sentences' words; words: its vocabulary.
 
         Only words that are not zero are added up. A row counts by what it has beyond its words, the greatest first, and
         each word is in one row at most.
         """
         best, evidence, greatest = self.constant, 0.0, 0.0
-        hits = {w: v for w in ({*words_of(text), *read_as_one(text, self.names)} if words is None else words) if (v := known[w])}
-        if hits:
-            for s in sentences(text):
-                mine = words_of(s)
-                values = [hits[w] for w in mine if w in hits]
-                rows = []
-                for a, b, w in rows_of(mine):
-                    if w in hits:
-                        parts = [hits[x] for x in mine[a:b] if x in hits]
-                        more = hits[w] - sum(parts)
-                        if more > 0:
-                            rows.append((more, a, b, hits[w], parts))
-                taken: set[int] = set()
-                for _, a, b, value, parts in sorted(rows, key=lambda x: (-x[0], x[1], x[2])):
-                    if taken.isdisjoint(range(a, b)):
-                        taken.update(range(a, b))
-                        for part in parts:
-                            values.remove(part)
-                        values.append(value)
-                if values:
-                    best = max(best, self.constant + sum(values))
-                    evidence += sum([v * v for v in values if v > 0])
-                    greatest = max(greatest, *values)
+        hits = {w: v for w in words if (v := known[w])}
+        with_rows = any([w[0] == ROW for w in hits])
+        for mine in parts if hits else ():
+            values = [hits[w] for w in mine if w in hits]
+            rows = []
+            for a, b, w in rows_of(mine) if with_rows else ():
+                if w in hits:
+                    inside = [hits[x] for x in mine[a:b] if x in hits]
+                    more = hits[w] - sum(inside)
+                    if more > 0:
+                        rows.append((more, a, b, hits[w], inside))
+            taken: set[int] = set()
+            for _, a, b, value, inside in sorted(rows, key=lambda x: (-x[0], x[1], x[2])):
+                if taken.isdisjoint(range(a, b)):
+                    taken.update(range(a, b))
+                    for x in inside:
+                        values.remove(x)
+                    values.append(value)
+            if values:
+                best = max(best, self.constant + sum(values))
+                evidence += sum([v * v for v in values if v > 0])
+                greatest = max(greatest, *values)
         return best, math.log(FAINT * FAINT + evidence), math.log(FAINT + greatest)
 
     def probability(self, measured: tuple[float, float, float]) -> float:
@@ -390,22 +408,24 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         w, constant = svm(x[use], y[use])
         margin = x @ w + constant
     model = Model(names, root @ w, constant)
-    one = sorted({w.strip(_EDGE) for t in texts for w in read_as_one(t, model.names)})
+    split = [parts_of(t) for t in texts]
+    one = sorted({w.strip(_EDGE) for p in split for w in read_as_one(p, names)})
     value = dict(zip([*known, *one], model.word_margins([*known, *one]), strict=True))
 
-    def measure(t: str) -> tuple[float, float, float]:
-        return model.measure(t, {v: value[v.strip(_EDGE)] for v in (*words_of(t), *read_as_one(t, names))})
+    def measure(parts: list[list[str]]) -> tuple[float, float, float]:
+        mine = vocabulary(parts, names)
+        return model.measure(parts, {w: value[w.strip(_EDGE)] for w in mine}, mine)
 
     # a logistic curve, classes weighed alike, by Newton's steps with a little shrinkage; toxic sentences of a margin that
     # hardly any clean text has are texts too, each also with letters inserted in its words that speak for label 1, so
     # that one such sentence is enough, and gaps in its words no way around
-    measured = [measure(t) for t in texts]
+    measured = [measure(p) for p in split]
     sure = max(0.0, float(np.quantile([m[0] for m, y in zip(measured, labels, strict=True) if not y], 1 - ALONE)))
-    strong = [s for t, y in zip(texts, labels, strict=True) if y for s in sentences(t) if measure(s)[0] > sure]
-    gapped = [" ".join(with_gaps(b, 1 + i % GAPS) if value[b] > WITNESS else b for w in words_of(s) if (b := w.strip(_EDGE))) for i, s in enumerate(strong)]
-    new = sorted({w for s in gapped for w in (*words_of(s), *read_as_one(s, names)) if w.strip(_EDGE) not in value})
-    value |= dict(zip([w.strip(_EDGE) for w in new], model.word_margins([w.strip(_EDGE) for w in new]), strict=True))
-    alone = [measure(s) for s in (*strong, *gapped)]
+    strong = [[s] for p, y in zip(split, labels, strict=True) if y for s in p if measure([s])[0] > sure]
+    gapped = [[[with_gaps(b, 1 + i % GAPS) if value[b] > WITNESS else b for w in s if (b := w.strip(_EDGE))]] for i, (s,) in enumerate(strong)]
+    new = sorted({b for p in gapped for w in vocabulary(p, names) if (b := w.strip(_EDGE)) not in value})
+    value |= dict(zip(new, model.word_margins(new), strict=True))
+    alone = [measure(p) for p in (*strong, *gapped)]
     x2 = np.array(measured + alone)
     x2 = np.hstack([x2, np.ones((len(x2), 1))])
     target = np.array([*labels, *[1] * len(alone)], float)
@@ -435,10 +455,10 @@ def scorer(model: Model):
         return [value[b] for b in bare]
 
     def score(texts: list[bytes | None]):
-        clear = [plain((t or b"").decode("utf-8", "replace")) for t in texts]
-        words = [{*words_of(t), *read_as_one(t, model.names)} for t in clear]
+        split = [parts_of(plain((t or b"").decode("utf-8", "replace"))) for t in texts]
+        words = [vocabulary(p, model.names) for p in split]
         known = memo.fill(set().union(*words), values)
-        out = [model.probability(model.measure(t, known, w)) for t, w in zip(clear, words, strict=True)]
+        out = [model.probability(model.measure(p, known, w)) for p, w in zip(split, words, strict=True)]
         return [out, [int(p >= THRESHOLD) for p in out]]
 
     return score

@@ -108,6 +108,11 @@ def test_words_cut_by_blanks_and_marks():
     assert X.sentences("a b.c d. e?f! g") == ["a b.c d", " e?f", " g"]
 
 
+def test_parts_are_the_sentences_words():
+    for t in ("a b.c d. e?f! g", "", " . ", "x\n\ny!! z", "one two.", "a\tb\r\nc"):
+        assert X.parts_of(t) == [w for s in X.sentences(t) if (w := X.words_of(s))]
+
+
 def test_table_edges(docs, edge_docs, no_docs, clashing, spark):
     texts, _ = sample(2, 200)
     model = X.fit([t for t, _ in texts], [y for _, y in texts])
