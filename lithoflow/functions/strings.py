@@ -33,6 +33,11 @@ def stem_last(name: Column | str) -> Column:
     return F.regexp_replace(_col(name), r"(?s)^(\.*[^.].*)\.[^.]*$", "$1")
 
 
+def without(name: Column | str, part: str) -> Column:
+    """The name without every occurrence of part: a well from `well_traces.csv`."""
+    return F.replace(_col(name), F.lit(part), F.lit(""))
+
+
 def has_suffix(name: Column | str, suffix: str, any_case: bool = False) -> Column:
     x = _col(name)
     return F.endswith(F.lower(x), F.lit(suffix.lower())) if any_case else F.endswith(x, F.lit(suffix))

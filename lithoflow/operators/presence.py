@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Columns that a presence matrix may have.
+COLUMNS = 20_000
+
+
 def distinct_sorted(df: DataFrame, *columns: str) -> DataFrame:
     """Distinct values in code-point order."""
     return df.select(*columns).distinct().orderBy(*columns)
 
 
-def column_values(facts: DataFrame, col: str) -> list[str]:
-    """The distinct non-null values of col, sorted: a matrix's columns. They come to the driver, as a schema must."""
-    return [r[0] for r in distinct_sorted(facts.where(F.col(col).isNotNull()), col).collect()]
+def column_values(facts: DataFrame, col: str, most: int = COLUMNS) -> list[str]:
+    """The distinct non-null values of col, sorted: a matrix's columns. They come to the driver, as a schema must; more than `most` are an error."""
+    found = [r[0] for r in distinct_sorted(facts.where(F.col(col).isNotNull()), col).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"a matrix has at most {most} columns; use the facts in long form")
+    return found
 
 
 def presence_matrix(roster: DataFrame, facts: DataFrame, row: str, col: str, values: list | None = None) -> DataFrame:
@@ -46,6 +53,17 @@ def present_in_all(facts: DataFrame, member: str, group: str, groups: list) -> D
     return some.groupBy(member).agg(F.count_distinct(group).alias("__n")).where(F.col("__n") == len(set(groups))).select(member)
 
 
+def not_in(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key no row of other has."""
+    return df.join(other.select(key).distinct(), key, "left_anti")
+
+
+def lookup(df: DataFrame, table: DataFrame, key: str, values: list[str], default: str = "") -> DataFrame:
+    """df with values of table's row of its key; `default` where there is no row or its value is null."""
+    found = df.join(table.select(key, *values), key, "left")
+    return found.withColumns({v: F.coalesce(v, F.lit(default)) for v in values})
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str | Column], values: list[str]) -> DataFrame:
     """values of each key's first row; a null there stays."""
     by = [F.col(o) if isinstance(o, str) else o for o in order]
@@ -62,7 +80,8 @@ def channel_dictionary(channels: DataFrame, order: list[str | Column]) -> DataFr
     """(Channel Name, Long Name, Unit) of scalar channels from their first sighting; nulls there are empty."""
     scalar = channels.where(~F.col("is_array"))
     first = first_wins(scalar, ["channel"], order, ["long_name", "units"])
-    return first.select(F.col("channel").alias("Channel Name"), F.coalesce("long_name", F.lit("")).alias("Long Name"), F.coalesce("units", F.lit("")).alias("Unit")).orderBy("Channel Name")
+    named = lookup(first.select("channel"), first, "channel", ["long_name", "units"])
+    return named.select(F.col("channel").alias("Channel Name"), F.col("long_name").alias("Long Name"), F.col("units").alias("Unit")).orderBy("Channel Name")
 
 
 def channel_matrix(channels: DataFrame) -> DataFrame:

@@ -15,11 +15,16 @@ from pyspark.sql import functions as F
 REPORT_ROWS = 1_000_000
 
 
-def _report(df: DataFrame) -> tuple[list[str], list[tuple]]:
+def report_rows(df: DataFrame) -> list:
+    """All rows of a report; an error beyond REPORT_ROWS."""
     rows = df.limit(REPORT_ROWS + 1).collect()
     if len(rows) > REPORT_ROWS:
         raise ValueError(f"a report holds at most {REPORT_ROWS} rows; write the table by Spark")
-    return df.columns, [tuple(r) for r in rows]
+    return rows
+
+
+def _report(df: DataFrame) -> tuple[list[str], list[tuple]]:
+    return df.columns, [tuple(r) for r in report_rows(df)]
 
 
 def _folder_of(path: str) -> None:

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoflow.functions import fields, first_number, has_suffix, parse_double, stem_first, stem_last, trim_ws
+from lithoflow.functions import fields, first_number, has_suffix, parse_double, stem_first, stem_last, without
 from lithoflow.operators.columns import composite_key, quantised, scalar_columns, to_wide
 from lithoflow.operators.gather import trace_gather
 from lithoflow.operators.knn import knn_join
-from lithoflow.operators.presence import distinct_sorted, first_wins, last_wins, presence_matrix, present_in_all, prevalence
+from lithoflow.operators.presence import distinct_sorted, first_wins, last_wins, lookup, not_in, presence_matrix, present_in_all, prevalence
+from lithoflow.plans import files
+from lithoflow.plans.wells import inline_table, well_of
+from lithoflow.sources.deviation import header_names, table_widths
+from lithoflow.sources.las import section
 
 #: Fixed values of the generated tables.
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -43,7 +47,7 @@ def q_division_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_left_anti(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").select("doc_id").join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    return not_in(_t(spark, sf, "documents").select("doc_id"), _t(spark, sf, "labels"), "doc_id")
 
 
 def q_distinct_sorted(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +68,7 @@ def _plane(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_knn(spark: SparkSession, sf: str) -> DataFrame:
     plane = _plane(spark, sf)
-    points = plane.where("label = 0").select(F.col("TraceIdx").alias("pt"), (F.col("X") + 0.001).alias("x0"), F.col("Y").alias("y0"))
+    points = plane.select(F.col("TraceIdx").alias("pt"), (F.col("X") + 0.001).alias("x0"), F.col("Y").alias("y0"))
     return knn_join(points, plane, 9).select(F.col("pt").cast("bigint").alias("pt"), F.col("rank").cast("bigint").alias("rank"), F.col("TraceIdx").alias("vec_id"))
 
 
@@ -75,7 +79,7 @@ def q_knn_union(spark: SparkSession, sf: str) -> DataFrame:
 def q_trace_gather(spark: SparkSession, sf: str) -> DataFrame:
     volume = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("TraceIdx"), F.col("embedding").alias("samples"))
     cube = trace_gather(q_knn_union(spark, sf).select(F.col("vec_id").alias("TraceIdx")), volume)
-    return to_wide(cube, "samples", 4, ["TraceIdx"])
+    return to_wide(cube, "samples", 64, ["TraceIdx"])
 
 
 def q_wide_samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,9 +94,13 @@ def q_first_number(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", first_number("text").alias("number"))
 
 
+def _document_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as tables of lines, as files are read."""
+    return _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
 def q_header_line(spark: SparkSession, sf: str) -> DataFrame:
-    lines = F.split("text", "\n")
-    return _t(spark, sf, "documents").where(F.size(lines) > 1).select("doc_id", F.get(lines, 1).alias("header"))
+    return header_names(_document_lines(spark, sf), ["doc_id"]).select("doc_id", F.array_join("names", " ").alias("header"))
 
 
 def q_ws_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,22 +108,14 @@ def q_ws_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_ragged_width(spark: SparkSession, sf: str) -> DataFrame:
-    lines = F.split("text", "\n")
-    width = lambda x: F.size(fields(x))
-    body = F.filter(F.slice(lines, 3, F.size(lines)), lambda x: trim_ws(x) != "")
-    full = _t(spark, sf, "documents").where(F.size(lines) > 1).select("doc_id", width(F.get(lines, 1)).cast("bigint").alias("header_width"), F.array_max(F.transform(body, width)).cast("bigint").alias("widest"))
-    return full.where(F.col("widest").isNotNull()).withColumn("fits", F.col("header_width") == F.col("widest"))
+    widths = table_widths(_document_lines(spark, sf), ["doc_id"])
+    found = widths.select("doc_id", F.size("names").cast("bigint").alias("header_width"), F.col("widest").cast("bigint").alias("widest"))
+    return found.withColumn("fits", F.col("header_width") == F.col("widest"))
 
 
 def q_section_scan(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    whole = Window.partitionBy("conv_id")
-    turns = _t(spark, sf, "conversations")
-    start = F.min(F.when(F.col("role") == "system", F.col("turn"))).over(whole)
-    marked = turns.withColumn("start", start)
-    end = F.min(F.when((F.col("role") == "assistant") & (F.col("turn") > F.col("start")), F.col("turn"))).over(whole)
-    return marked.withColumn("end", end).where("turn > start and (turn < end or end is null)").select("conv_id", "turn", "role")
+    role = F.col("role")
+    return section(_t(spark, sf, "conversations"), role == "system", role.isin("system", "assistant"), ["conv_id"], "turn").select("conv_id", "turn", "role")
 
 
 def q_stem_suffix(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,8 +130,8 @@ def q_parse_skip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_inline_table(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = spark.createDataFrame([("ASIA", 1), ("EUROPE", 2)], "r_name string, ord bigint")
-    return wanted.join(_t(spark, sf, "region"), "r_name").select("ord", "r_name", F.col("r_regionkey").cast("bigint").alias("r_regionkey"))
+    wanted = inline_table(spark, [("ASIA",), ("EUROPE",)], "r_name string")
+    return wanted.join(_t(spark, sf, "region"), "r_name").select(F.col("ord").cast("bigint").alias("ord"), "r_name", F.col("r_regionkey").cast("bigint").alias("r_regionkey"))
 
 
 def q_float32_cast(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +144,11 @@ def q_composite_key(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_dict_default(spark: SparkSession, sf: str) -> DataFrame:
     labels = _t(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
-    return _t(spark, sf, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit("")).alias("quality"))
+    return lookup(_t(spark, sf, "documents").select("doc_id"), labels, "doc_id", ["quality"])
+
+
+def q_strip_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "pages").select("page_id", without("url", ".html").alias("name"), well_of(F.concat(F.lit("w"), F.col("page_id").cast("string"), F.lit("_traces.csv"))).alias("well"))
 
 
 _CUSTOMER = "(SELECT DISTINCT o_custkey AS c_custkey, o_orderpriority FROM orders)"
@@ -154,7 +158,7 @@ _KNN = f"""
     SELECT p.vec_id AS pt, t.vec_id AS vec_id,
            row_number() OVER (PARTITION BY p.vec_id ORDER BY
              (t.x - (p.x + 0.001)) * (t.x - (p.x + 0.001)) + (t.y - p.y) * (t.y - p.y), t.vec_id) AS rank
-    FROM {_PLANE} p, {_PLANE} t WHERE p.label = 0)
+    FROM {_PLANE} p, {_PLANE} t)
   WHERE rank <= 9"""
 _SPACES = r"'\s+'"
 _MARKS = ", ".join(f"""CAST(coalesce(max(CASE WHEN f.o_orderpriority = '{p}' THEN 1 ELSE 0 END), 0) AS INTEGER) AS "{p}\"""" for p in PRIORITIES)
@@ -172,35 +176,37 @@ SQL = {
     "last_wins": "SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "knn": _KNN,
     "knn_union": f"SELECT DISTINCT vec_id FROM ({_KNN})",
-    "trace_gather": f"SELECT k.vec_id AS \"TraceIdx\", {', '.join(f'e.embedding[{i + 1}] AS \"S{i}\"' for i in range(4))} FROM (SELECT DISTINCT vec_id FROM ({_KNN})) k JOIN embeddings e ON e.vec_id = k.vec_id",
+    "trace_gather": f"SELECT k.vec_id AS \"TraceIdx\", {', '.join(f'e.embedding[{i + 1}] AS \"S{i}\"' for i in range(64))} FROM (SELECT DISTINCT vec_id FROM ({_KNN})) k JOIN embeddings e ON e.vec_id = k.vec_id",
     "wide_samples": f"SELECT vec_id, {', '.join(f'embedding[{i + 1}] AS \"S{i}\"' for i in range(64))} FROM embeddings",
     "scalar_columns": "SELECT vec_id, label FROM embeddings",
     "first_number": r"SELECT doc_id, CAST(nullif(regexp_extract(text, '[-+]?\d*\.\d+|\d+'), '') AS DOUBLE) AS number FROM documents",
-    "header_line": "SELECT doc_id, string_split(text, chr(10))[2] AS header FROM documents WHERE len(string_split(text, chr(10))) > 1",
+    "header_line": f"""WITH h AS (SELECT doc_id, string_split(text, chr(10))[2] AS line FROM documents WHERE len(string_split(text, chr(10))) > 1)
+        SELECT doc_id, array_to_string(regexp_split_to_array(trim(regexp_replace(line, '^#+', ''), ' ' || chr(9) || chr(13)), {_SPACES}), ' ') AS header FROM h""",
     "ws_tokens": f"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, {_SPACES}), lambda w: w <> '')) AS BIGINT) AS n_tokens FROM documents",
     "ragged_width": f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), w AS (
-        SELECT doc_id, CAST(len(regexp_split_to_array(trim(lines[2], ' ' || chr(9) || chr(13)), {_SPACES})) AS BIGINT) AS header_width,
+        SELECT doc_id, CAST(len(regexp_split_to_array(trim(regexp_replace(lines[2], '^#+', ''), ' ' || chr(9) || chr(13)), {_SPACES})) AS BIGINT) AS header_width,
                CAST(list_max(list_transform(list_filter(lines[3:], lambda x: trim(x, ' ' || chr(9) || chr(13)) <> ''), lambda x: len(regexp_split_to_array(trim(x, ' ' || chr(9) || chr(13)), {_SPACES})))) AS BIGINT) AS widest
         FROM l WHERE len(lines) > 1)
         SELECT doc_id, header_width, widest, header_width = widest AS fits FROM w WHERE widest IS NOT NULL""",
     "section_scan": """WITH s AS (SELECT *, min(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id) AS s FROM conversations),
         e AS (SELECT *, min(CASE WHEN role = 'assistant' AND turn > s THEN turn END) OVER (PARTITION BY conv_id) AS e FROM s)
-        SELECT conv_id, turn, role FROM e WHERE turn > s AND (turn < e OR e IS NULL)""",
+        SELECT conv_id, turn, role FROM e WHERE turn > s AND (turn < e OR e IS NULL) AND role IS DISTINCT FROM 'system'""",
     "stem_suffix": r"""WITH n AS (SELECT page_id, string_split(url, '/')[-1] AS name FROM pages)
         SELECT page_id, name, string_split(name, '.')[1] AS first, regexp_replace(name, '^(\.*[^.].*)\.[^.]*$', '\1') AS last,
                lower(name) LIKE '%.html' AS is_html FROM n""",
     "parse_skip": r"""SELECT event_id, TRY_CAST(regexp_extract(props, '"[^"]*"\s*:\s*"?([-+0-9.eE]+)"?', 1) AS DOUBLE) AS number FROM events
         WHERE TRY_CAST(regexp_extract(props, '"[^"]*"\s*:\s*"?([-+0-9.eE]+)"?', 1) AS DOUBLE) IS NOT NULL""",
-    "inline_table": "SELECT CAST(v.ord AS BIGINT) AS ord, v.r_name, CAST(r_regionkey AS BIGINT) AS r_regionkey FROM (VALUES ('ASIA', 1), ('EUROPE', 2)) v(r_name, ord) JOIN region r ON r.r_name = v.r_name",
+    "inline_table": "SELECT CAST(v.ord AS BIGINT) AS ord, v.r_name, CAST(r_regionkey AS BIGINT) AS r_regionkey FROM (VALUES ('ASIA', 0), ('EUROPE', 1)) v(r_name, ord) JOIN region r ON r.r_name = v.r_name",
     "float32_cast": "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) AS price FROM lineitem",
     "composite_key": "SELECT concat_ws('_', r_name, n_name) AS key FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "strip_suffix": "SELECT page_id, replace(url, '.html', '') AS name, 'w' || page_id AS well FROM pages",
     "dict_default": "SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), '') AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[f"q_{name}"] for name in SQL}
+    return {name: globals()[f"q_{name}"] for name in SQL} | files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | files.oracle_sql()

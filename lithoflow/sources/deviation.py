@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from lithoflow.functions import fields, parse_double, trim_ws
 
 
+def header_names(lines: DataFrame, key: list[str]) -> DataFrame:
+    """key and names: the fields of line 1, without leading `#` signs."""
+    return lines.where("pos = 1").select(*key, fields(F.regexp_replace("line", "^#+", "")).alias("names"))
+
+
+def table_rows(lines: DataFrame, key: list[str]) -> DataFrame:
+    """key, pos and cells of the lines from 2 on that are not blank."""
+    return lines.where(F.col("pos") > 1).where(trim_ws("line") != "").select(*key, "pos", fields("line").alias("cells"))
+
+
+def table_widths(lines: DataFrame, key: list[str]) -> DataFrame:
+    """key, names and widest of each table with a header and a row: the table is usable if the widest row has as many fields as there are names."""
+    widest = table_rows(lines, key).groupBy(*key).agg(F.max(F.size("cells")).alias("widest"))
+    return header_names(lines, key).join(widest, key)
+
+
 def deviation_points(lines: DataFrame, key: list[str] | None = None) -> DataFrame:
     """key, pos, x and y of each usable row.
 
@@ -16,16 +32,13 @@ def deviation_points(lines: DataFrame, key: list[str] | None = None) -> DataFram
     whose X or Y is no finite number are left out one by one.
     """
     key = key or ["file"]
-    header = lines.where("pos = 1").select(*key, fields(F.regexp_replace("line", "^#+", "")).alias("__names"))
-    rows = lines.where(F.col("pos") > 1).where(trim_ws("line") != "").select(*key, "pos", fields("line").alias("__cells"))
-    widest = rows.groupBy(*key).agg(F.max(F.size("__cells")).alias("__width"))
-    good = header.join(widest, key).where(F.size("__names") == F.col("__width")).drop("__width")
+    good = table_widths(lines, key).where(F.size("names") == F.col("widest"))
 
     def cell(name: str):
-        return parse_double(F.get("__cells", (F.array_position("__names", name) - 1).cast("int")))
+        return parse_double(F.get("cells", (F.array_position("names", name) - 1).cast("int")))
 
-    there = F.array_contains("__names", "X") & F.array_contains("__names", "Y")
-    points = rows.join(good, key).where(there).select(*key, "pos", cell("X").alias("x"), cell("Y").alias("y"))
+    there = F.array_contains("names", "X") & F.array_contains("names", "Y")
+    points = table_rows(lines, key).join(good, key).where(there).select(*key, "pos", cell("X").alias("x"), cell("Y").alias("y"))
     return points.where("x is not null and y is not null")
 
 

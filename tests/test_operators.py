@@ -11,9 +11,9 @@ from lithoflow.operators.columns import composite_key, quantised, to_wide
 from lithoflow.operators.gather import check_gathered, id_ranges, trace_gather
 from lithoflow.operators.knn import knn_join
 from lithoflow.operators.presence import channel_dictionary, channel_matrix, first_wins, last_wins, presence_matrix, present_in_all, prevalence
+from lithoflow.plans import encoders
 from lithoflow.plans import wells as W
 from lithoflow.sources.traces import read_traces
-from tests import encoders
 
 STRATEGIES = ["exact", "broadcast", "grid"]
 
@@ -54,6 +54,33 @@ def test_knn_edges(spark, strategy):
     assert near(spark, [(1, 0.0, 0.0)], same, 2, strategy) == {1: [1, 2]}
 
 
+def test_stray_traces_leave_cells_small(spark, monkeypatch):
+    monkeypatch.setattr(knn, "FEW", 3)
+    r = random.Random(2)
+    rows = [(i, 592331 + r.uniform(0, 1000), 4212564 + r.uniform(0, 1000)) for i in range(600)] + [(900, 0.0, 0.0)]
+    traces = spark.createDataFrame(rows, "TraceIdx long, X double, Y double")
+    points = [(i, 592331 + r.uniform(0, 1000), 4212564 + r.uniform(0, 1000)) for i in range(20)]
+    sizes = []
+    keep = knn.math.sqrt
+    monkeypatch.setattr(knn.math, "sqrt", lambda x: sizes.append(keep(x)) or keep(x))
+    got = near(spark, points, traces, 9, "grid")
+    monkeypatch.undo()
+    assert max(sizes) < 400 and got == near(spark, points, traces, 9, "exact")
+
+
+def test_limits_are_errors(spark):
+    from lithoflow import durable
+    from lithoflow.operators.presence import column_values
+
+    facts = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", None)], "r string, c string")
+    assert column_values(facts, "c") == ["x", "y"]
+    with pytest.raises(ValueError):
+        column_values(facts, "c", 1)
+    assert durable.local_folder("local[4]")
+    with pytest.raises(RuntimeError):
+        durable.local_folder("spark://host:7077")
+
+
 def test_precision(spark):
     traces = spark.createDataFrame([(0, 592331.03, 4212564.3), (1, 592331.0, 4212564.5)], "TraceIdx long, X double, Y double")
     assert near(spark, [(1, 592331.0, 4212564.5)], traces, 2, "exact") == {1: [0, 1]}  # both are the same in single precision
@@ -140,6 +167,16 @@ def test_wells_to_cubes(spark, tmp_path):
     encoders.segy(volume, [[i, i + 0.5] for i in range(25)])
     cube = W.trace_cubes(spark, lists, volume)
     assert cube.count() == lists.count() and all(list(r["samples"]) == [r["TraceIdx"], r["TraceIdx"] + 0.5] for r in cube.collect())
+    roster = W.well_roster(spark, str(dev), str(log), {"i1": (10, 20)})
+    assert {tuple(r) for r in roster.collect()} == {("deviated", "d1"), ("deviated", "d2"), ("logging", "l1"), ("logging", "l3"), ("imaging", "i1")}
+    assert {tuple(r) for r in W.list_sizes(roster, lists).collect()} == {("deviated", "d1", 15), ("deviated", "d2", 0), ("logging", "l1", 9), ("logging", "l3", 0), ("imaging", "i1", 9)}
+    assert {r["file"] for r in W.well_diagnostics(spark, str(dev), str(log)).collect()} == {"d2.dat", "l3.Las"}
+    out = W.export_lists(spark, roster, lists, str(tmp_path / "out"))
+    W.export_cubes(spark, roster, lists, volume, out)
+    rows = lambda *at: list(csv.reader(open(os.path.join(out, *at))))
+    assert rows("logging", "l1_traces.csv") == [["TraceIdx"], *([str(t)] for t in (11, 12, 6, 7, 16, 17, 10, 13, 5))]
+    assert rows("imaging", "i1_cube.csv")[:3] == [["TraceIdx", "S0", "S1"], ["11", "11.0", "11.5"], ["6", "6.0", "6.5"]]
+    assert rows("deviated", "d2_traces.csv") == [["TraceIdx"]] and rows("logging", "l3_cube.csv") == [["TraceIdx", "S0", "S1"]]
     encoders.segy(volume, [[i, i + 0.5] for i in range(10)])
     with pytest.raises(IndexError):
         W.trace_cubes(spark, lists, volume)
@@ -160,6 +197,8 @@ def test_folders_and_curves(spark, tmp_path):
     (tmp_path / "测井" / "a.las").write_text("~C\nAC.X\nGR.Y\n")
     roster, facts = W.curve_facts(spark, str(tmp_path / "测井"))
     assert {tuple(r) for r in presence_matrix(roster, facts, "file", "curve").collect()} == {("a.las", 1, 1), ("b.las", 0, 0)}
+    counted = W.export_curve_matrix(spark, str(tmp_path / "测井"), str(tmp_path / "curves.xlsx"))
+    assert {tuple(r) for r in counted.collect()} == {("AC", 2, 1), ("GR", 2, 1)} and zipfile.is_zipfile(tmp_path / "curves.xlsx")
 
 
 def test_frames_of_wells(spark, tmp_path):

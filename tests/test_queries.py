@@ -17,10 +17,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(Q.SQL))
+@pytest.mark.parametrize("name", list(Q.oracle_sql()))
 def test_as_the_sql(spark, duck, name):
     got = Q.queries()[name](spark, SF)
-    want = duck.execute(Q.SQL[name])
+    want = duck.execute(Q.oracle_sql()[name])
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(got.columns)
     key = lambda rows: sorted((tuple(r) for r in rows), key=lambda r: tuple((x is None, str(x)) for x in r))

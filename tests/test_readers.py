@@ -13,7 +13,7 @@ from lithoflow.sources.dlis import read_dlis_channels, read_dlis_frame
 from lithoflow.sources.las import coordinate_diagnostics, curve_names, well_coordinates
 from lithoflow.sources.segy import header, read_segy, sample_count
 from lithoflow.sources.textlines import read_lines, sniff
-from tests import encoders
+from lithoflow.plans import encoders
 
 LAS = """~Version
 ~Curve Information
