@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 from lithoflow.sources import rp66
 
+#: Rows of a frame that a task holds at a time.
+BATCH = 4096
 CHANNELS = "path string, file string, logical_file int, frame string, frame_ord int, ord int, channel string, is_array boolean, long_name string, units string, code int"
 
 
@@ -27,7 +30,7 @@ def read_dlis_channels(spark: SparkSession, path: str | list[str]) -> DataFrame:
             for at, data in zip(files["path"], files["content"], strict=True):
                 rows = [
                     (at, at.rsplit("/", 1)[-1], i, f.name, j, k, c.name, c.is_array, c.long_name, c.units, c.code)
-                    for i, logical in enumerate(rp66.logical_files(data, with_rows=False))
+                    for i, logical in enumerate(rp66.logical_files(data))
                     for j, f in enumerate(logical)
                     for k, c in enumerate(f.channels)
                 ]
@@ -54,6 +57,7 @@ def frame_schema(channels: list[tuple[str, int, bool]]) -> T.StructType:
 
 def read_dlis_frame(spark: SparkSession, path: str, frame: str, logical_file: int = 0) -> DataFrame:
     """A frame's rows: SERIAL, then its channels in order, arrays included; a frame without rows is an empty table.
+    A task holds the file's bytes and BATCH rows.
 
     path is one file. The schema comes from its metadata, so one small job runs first.
     """
@@ -65,9 +69,8 @@ def read_dlis_frame(spark: SparkSession, path: str, frame: str, logical_file: in
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in frames:
             for data in files["content"]:
-                for i, logical in enumerate(rp66.logical_files(data, frame=frame)):
-                    for f in logical if i == logical_file else ():
-                        if f.name == frame:
-                            yield pd.DataFrame([(n, *cells) for n, cells in f.rows], columns=schema.names)
+                found = rp66.rows(data, logical_file, frame)
+                while part := list(islice(found, BATCH)):
+                    yield pd.DataFrame([(n, *cells) for n, cells in part], columns=schema.names)
 
     return _files(spark, path).mapInPandas(scan, schema)
