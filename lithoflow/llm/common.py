@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithoflow.durable import durable
+from lithoflow.durable import durable, local_folder
 
 __all__ = ["CHUNK_BYTES", "Memo", "chunks", "durable", "map_texts", "saved", "shared_dir", "table"]
 
@@ -24,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured, as in tests."""
+    """The folder that driver and executors share; a temporary one only where none is configured and the master is local, as in tests."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -33,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     at = sc._jsc.sc().getCheckpointDir()
     if not at.isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lithoflow-"))
+        sc.setCheckpointDir(local_folder(sc.master))
         at = sc._jsc.sc().getCheckpointDir()
     return at.get()
 

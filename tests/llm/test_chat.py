@@ -66,3 +66,12 @@ def test_query_adds_the_conversation(spark):
     got = C.op9(spark, "/root/testdata/sf0.001").where("conv_id = -1").collect()
     own = "</s>[INST] ok [/INST]"
     assert [(r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got] == [digests([("user", own), ("assistant", own)])]
+
+
+def test_one_very_long_turn(spark):
+    long = "word </s> é\n" * 60_000
+    rows = [(1, 0, "user", "a", None), (1, 1, "assistant", long, None), (1, 2, "assistant", "b", None), (2, 0, "user", long, None)]
+    got = {r["conv_id"]: r for r in C.read_back(C.format_chats(spark.createDataFrame(rows, SCHEMA), PATH, P.PATTERN, part_ids=1000), PATH, P.PATTERN, in_order=True).collect()}
+    for c in (1, 2):
+        want = digests([(r[2], r[3]) for r in rows if r[0] == c])
+        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == want
