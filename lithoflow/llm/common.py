@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +16,7 @@ from lithoflow.durable import durable, local_folder
 __all__ = ["CHUNK_BYTES", "Memo", "chunks", "durable", "map_texts", "saved", "shared_dir", "table"]
 
 #: Text that one call of a row function gets at most, unless a single text is longer.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +77,9 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            texts = batch.column(kept).cast(pa.large_binary() if pa.types.is_large_string(batch.column(kept).type) else pa.binary()).to_pylist()
-            for a, b in chunks([len(x) if x else 0 for x in texts]):
-                made = f(texts[a:b])
+            texts = batch.column(kept).cast(pa.large_binary() if pa.types.is_large_string(batch.column(kept).type) else pa.binary())
+            for a, b in chunks(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                made = f(texts.slice(a, b - a).to_pylist())
                 arrays = [batch.column(i).slice(a, b - a).cast(arrow.field(i).type) for i in range(kept)]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(kept + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

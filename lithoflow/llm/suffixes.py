@@ -24,6 +24,8 @@ from lithoflow.llm.gsaca import common_prefixes, suffix_array
 BLOCK = 16
 #: Different sides of one core that a suffix array takes; larger groups are cut to blocks of half as many windows around longer cores.
 GROUP = 1500
+#: Texts whose equal anchors meet before they leave a task.
+MEET_BYTES = 8 << 20
 #: Symbols of a suffix array, which takes many groups at a time.
 SYMBOLS = 1 << 16
 
@@ -61,7 +63,7 @@ def _find_anchors(batches, window: int = WINDOW):
     schema = _arrow(_ROWS)
     for batch in batches:
         texts, k1, k2 = _bytes(batch.column(2)), batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for a, b in chunks(list(map(len, texts))):
+        for a, b in chunks(list(map(len, texts)), MEET_BYTES):
             parts, contents = [], []
             for i in range(a, b):
                 t = texts[i]
