@@ -12,6 +12,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,11 +63,10 @@ def _find_anchors(batches, window: int = WINDOW):
 
     schema = _arrow(_ROWS)
     for batch in batches:
-        texts, k1, k2 = _bytes(batch.column(2)), batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for a, b in chunks(list(map(len, texts)), MEET_BYTES):
+        k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for a, b in chunks(pc.binary_length(batch.column(2)).to_pylist(), MEET_BYTES):
             parts, contents = [], []
-            for i in range(a, b):
-                t = texts[i]
+            for i, t in enumerate(_bytes(batch.column(2).slice(a, b - a)), a):
                 if len(t) < window:
                     continue
                 h, place, first, last = anchors(t, window)
@@ -91,7 +91,10 @@ def _packed(batches):
 
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([z.compress(t) for t in _bytes(batch.columns[-1])], pa.binary())], names=batch.schema.names)
+        texts = batch.columns[-1]
+        for a, b in chunks(pc.binary_length(texts).to_pylist()):
+            packed = pa.array([z.compress(t) for t in _bytes(texts.slice(a, b - a))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), packed], names=batch.schema.names)
 
 
 def _unpack(data: bytes) -> bytes:
