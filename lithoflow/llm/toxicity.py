@@ -62,11 +62,12 @@ JOINED, BETWEEN = LONGEST + 2, 2
 #: Stands before a row of words read as one; it must hold a landmark in one piece, as most neighbours share some letters with one by chance.
 ROW = "\x03"
 #: Pairs of words whose kernels are taken at a time, and steps that words' margins are rounded to.
-PAIRS, STEP = 1024, 0.01
+PAIRS, STEP = 2048, 0.01
 #: Words whose margins a worker remembers, and texts' words that go through the kernel at a time.
 WORDS = 300_000
 THRESHOLD = 0.7
 _SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
+_STOP = re.compile(r"[.!?](?=\s)")
 _EDGE = "\"'.,;:!?()[]{}<>|*#$%&-_/\\"
 #: Single letters in a row, with blanks or marks between, are one word.
 _SPELLED = re.compile(r"(?<!\w)\w(?:[\s.*_\-]\w){3,}(?!\w)")
@@ -103,7 +104,7 @@ def rows_of(words: list[str]) -> list[tuple[int, int, str]]:
 
 def parts_of(text: str) -> list[list[str]]:
     """The words of each sentence that has any, as words_of gives them."""
-    cut = _SENTENCE.sub("\n", text)
+    cut = _STOP.sub("\n", text)  # of several marks the last ends the sentence, the others become blanks
     for mark in ".!?":
         cut = cut.replace(mark, " ")
     return [w for s in cut.split("\n") if (w := s.split())]
@@ -111,13 +112,19 @@ def parts_of(text: str) -> list[list[str]]:
 
 def read_as_one(parts: list[list[str]], landmarks: list[str]) -> set[str]:
     """A text's rows of words that hold a landmark in one piece; parts: its sentences' words."""
-    whole = "".join(["".join(p) for p in parts])
-    near = [n.replace(MARK, ROW) for n in landmarks if n.lstrip(MARK) in whole]
-    return {w for p in parts for _, _, w in rows_of(p) if any(n in w for n in near)} if near else set()
+    joined = ["".join(p) for p in parts]
+    whole = "\n".join(joined)  # a row is in one sentence
+    near = [(n.lstrip(MARK), n.replace(MARK, ROW)) for n in landmarks if n.lstrip(MARK) in whole]
+    out: set[str] = set()
+    for p, letters in zip(parts, joined, strict=True) if near else ():
+        held = [n for bare, n in near if bare in letters]
+        if held:
+            out.update([w for _, _, w in rows_of(p) if any([n in w for n in held])])
+    return out
 
 
 def vocabulary(parts: list[list[str]], landmarks: list[str]) -> set[str]:
-    return {*(w for p in parts for w in p), *read_as_one(parts, landmarks)}
+    return read_as_one(parts, landmarks).union(*parts)
 
 
 def sentences(text: str) -> list[str]:
@@ -140,12 +147,13 @@ def kernel_pairs(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float
     same = ((np.ascontiguousarray(s.T)[:, None, :] == letters[None]) & (letters != 0)) * (decay * decay)
     # weight[a, b]: of subsequences of the letters so far of s[:a] and of t[:b], with the letters after them counted as a gap
     weight = np.ones((m + 1, k + 1, n))
-    for _ in range(order - 1):
+    for found in range(order - 1):
         new = np.zeros_like(weight)
         ends = same * weight[:-1, :-1]
-        for a in range(m):
+        # so many letters are found before either, so earlier ones add nothing
+        for a in range(found, m):
             run = np.zeros(n)
-            for b in range(k):
+            for b in range(found, k):
                 run *= decay
                 run += ends[a, b]
                 np.multiply(new[a, b + 1], decay, out=new[a + 1, b + 1])
@@ -154,18 +162,26 @@ def kernel_pairs(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float
     return (same * weight[:-1, :-1]).sum((0, 1))
 
 
-def _bits(codes: np.ndarray) -> np.ndarray:
-    """A set of 64 bits for each row's letters."""
-    shifted = np.where(codes > 0, np.uint64(1) << (codes % 61).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(shifted, axis=1)
+def _bits(words: list[str]) -> np.ndarray:
+    """A set of 64 bits for each word's letters; no word is empty."""
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
+    # a zero stands for no letter, as in padded rows
+    set_of = np.where(letters > 0, np.uint64(1) << (letters % 61).astype(np.uint64), np.uint64(0))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return np.bitwise_or.reduceat(set_of, np.concatenate(([0], ends[:-1]))) if words else np.zeros(0, np.uint64)
 
 
 def common_letters(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of s[i] and t[i], a bit for each letter of t[i]."""
+
+    def as_bits(rows: np.ndarray) -> np.ndarray:
+        packed = np.packbits(rows, axis=1, bitorder="little")
+        return np.pad(packed, ((0, 0), (0, 4 - packed.shape[1]))).view("<u4")[:, 0]
+
     here = np.zeros(len(s), np.uint32)
-    full = ((t != 0) << np.arange(t.shape[1])).sum(1).astype(np.uint32)
+    full = as_bits(t != 0)
     for a in range(s.shape[1]):
-        match = (((t == s[:, a, None]) & (t != 0)) << np.arange(t.shape[1])).sum(1).astype(np.uint32)
+        match = as_bits(t == s[:, a, None])  # only bits of full count
         kept = ~here & full
         both = kept & match
         here = ~(((kept + both) | (kept & ~match))) & full
@@ -177,7 +193,7 @@ class Landmarks:
         self.names = names
         spelled = [x.replace(MARK, BEGIN) for x in names]
         self.codes = _codes(spelled, LONGEST + len(BEGIN) - 1)
-        self.bits = _bits(self.codes)
+        self.bits = _bits(spelled)
         self.own = kernel_pairs(self.codes, self.codes)
         lengths = np.array([len(x) for x in spelled], int)
         # with ORDER letters in common, so many different ones are common at least
@@ -201,7 +217,7 @@ class Landmarks:
             return out
         of = np.array(of)
         every = _codes(pieces, WIDTH)
-        bits = _bits(every)
+        bits = _bits(pieces)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         hit = np.bitwise_count(bits[:, None] & self.bits[None, :]) >= self.least[None, :]
         rows, marks = np.nonzero(hit & (lengths >= ORDER)[:, None])
@@ -317,8 +333,12 @@ class Model:
         """
         best, evidence, greatest = self.constant, 0.0, 0.0
         hits = {w: v for w in words if (v := known[w])}
-        with_rows = any([w[0] == ROW for w in hits])
+        row_letters = [w[1:] for w in hits if w[0] == ROW]
         for mine in parts if hits else ():
+            letters = "".join(mine) if row_letters else ""
+            with_rows = any([x in letters for x in row_letters])
+            if not with_rows and hits.keys().isdisjoint(mine):
+                continue
             values = [hits[w] for w in mine if w in hits]
             rows = []
             for a, b, w in rows_of(mine) if with_rows else ():
