@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,10 +14,14 @@ from pyspark.sql import types as T
 
 from lithoflow.durable import durable, local_folder
 
-__all__ = ["CHUNK_BYTES", "Memo", "chunks", "durable", "map_texts", "saved", "shared_dir", "table"]
+__all__ = ["BATCH_BYTES", "CHUNK_BYTES", "Memo", "as_binary", "bounded", "chunks", "durable", "map_texts", "saved", "shared_dir", "table"]
 
 #: Text that one call of a row function gets at most, unless a single text is longer.
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch that goes to Python at most, unless a single row is longer. Spark's own limits are 64 MB and 10,000 rows.
+BATCH_BYTES = 8 << 20
+#: The session's setting of that.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +50,23 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df itself. Its session from now on has Arrow batches of at most BATCH_BYTES; a smaller limit stays.
+
+    Both the executor and its Python worker hold whole batches, twice while a buffer grows or the next one arrives.
+    The limit is read when a plan runs, so it can't be set for one plan alone; results don't depend on it.
+    """
+    conf = df.sparkSession.conf
+    now = re.fullmatch(r"\s*(\d+)\s*([a-z]*)\s*", (conf.get(BATCH_SETTING, None) or "").lower())
+    if not now or int(now[1]) << {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(now[2][:1], 0) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
+def as_binary(texts: pa.Array) -> pa.Array:
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+
+
 def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most limit bytes together; a single larger row stands alone."""
     at = total = 0
@@ -70,14 +92,14 @@ def map_texts(
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    source = df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    source = bounded(df).select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*source.select(*[F.col(f"`{k}`") for k in keep]).schema.fields, *[T.StructField(n, t) for n, t in fields]])
     kept, arrow = len(keep), to_arrow_schema(schema, timestamp_utc=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            texts = batch.column(kept).cast(pa.large_binary() if pa.types.is_large_string(batch.column(kept).type) else pa.binary())
+            texts = as_binary(batch.column(kept))
             for a, b in chunks(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
                 made = f(texts.slice(a, b - a).to_pylist())
                 arrays = [batch.column(i).slice(a, b - a).cast(arrow.field(i).type) for i in range(kept)]

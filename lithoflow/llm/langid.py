@@ -5,16 +5,20 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithoflow.llm.common import map_texts
+from lithoflow.llm.common import as_binary, bounded, chunks, map_texts
 
 #: N-grams in a profile.
 PROFILE = 300
 #: Characters of a text that are counted at a time; the counts of all parts add up to those of the whole.
 PART = 1 << 20
+#: Codes of a language that wait to be added up.
+MERGE = 1 << 17
 
 
 @lru_cache(1)
@@ -57,6 +61,27 @@ def ngrams(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return x, np.bincount(where, np.concatenate(counts)).astype(np.int64)
 
 
+class Counts:
+    """Sum of counts by code. What came is added up once it is as long as the sum so far, and MERGE codes at least."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.known = self.new = 0
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((codes, counts))
+        self.new += len(codes)
+        if self.new >= max(MERGE, self.known):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            x, where = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
+            self.parts = [(x, np.bincount(where, np.concatenate([p[1] for p in self.parts])).astype(np.int64))]
+            self.known, self.new = len(x), 0
+        return self.parts[0]
+
+
 def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The size most frequent codes, most frequent first, ties to the smaller code."""
     return codes[np.lexsort((codes, -counts))[:size]]
@@ -69,27 +94,21 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size
     language or text is null teach nothing. No row at all: no profile.
     """
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
-    source = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-
-    def count(frames):
-        import pandas as pd
-
-        held: dict[str, list] = {}
-
-        def merged(parts):
-            x, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return x, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-        for frame in frames:
-            for k, t in zip(frame["lang"], frame["text"], strict=True):
-                held.setdefault(k, []).append(ngrams(t.encode()))
-                if len(held[k]) >= 256:
-                    held[k] = [merged(held[k])]
-        for k, parts in held.items():
-            x, n = merged(parts)
-            yield pd.DataFrame({"lang": k, "code": x.astype(np.int64), "n": n})
-
-    total = source.mapInPandas(count, schema).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    source = bounded(docs).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
+
+    def count(batches):
+        held: dict[str, Counts] = {}
+        for batch in batches:
+            texts = as_binary(batch.column(1))
+            for a, b in chunks(pc.binary_length(texts).to_pylist()):
+                for k, t in zip(batch.column(0).slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist(), strict=True):
+                    held.setdefault(k, Counts()).add(*ngrams(t))
+        while held:
+            k, counts = held.popitem()
+            x, n = counts.total()
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(k, pa.string()), len(x)), pa.array(x.astype(np.int64)), pa.array(n)], names=schema.names)
+
+    total = source.mapInArrow(count, schema).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     by_lang = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = total.withColumn("rank", F.row_number().over(by_lang)).where(F.col("rank") <= size)
     out: dict[str, list[int]] = {}

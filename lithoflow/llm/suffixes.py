@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lithoflow.llm.anchors import WINDOW, anchors
-from lithoflow.llm.common import CHUNK_BYTES, chunks, saved, table
+from lithoflow.llm.common import CHUNK_BYTES, as_binary, bounded, chunks, saved, table
 from lithoflow.llm.gsaca import common_prefixes, suffix_array
 
 #: Windows in a block, a power of two; their common core has window - BLOCK + 1 bytes.
@@ -46,7 +46,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+    return as_binary(column).to_pylist()
 
 
 def _halves(digest: bytes) -> tuple[int, int]:
@@ -262,7 +262,7 @@ def _repeated(classes: DataFrame, group: int, block: int = BLOCK) -> DataFrame:
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     own = F.col(f"`{id_col}`")
-    return docs.withColumn("__k1", F.xxhash64(t, own)).withColumn("__k2", F.xxhash64(own, t, F.lit(1))).withColumn("__t", t)
+    return bounded(docs).withColumn("__k1", F.xxhash64(t, own)).withColumn("__k2", F.xxhash64(own, t, F.lit(1))).withColumn("__t", t)
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
