@@ -29,12 +29,17 @@ GROUP = 1500
 MEET_BYTES = 8 << 20
 #: Symbols of a suffix array, which takes many groups at a time.
 SYMBOLS = 1 << 16
+#: A passage has so many bytes and words at least: 50 words of running text have over 200 bytes in any of the languages.
+PASSAGE = (200, 50)
 
 _KEY = ["k1", "k2"]
 _ROWS = T.StructType([T.StructField(n, T.LongType()) for n in ("h", "c", *_KEY)] + [T.StructField(n, T.IntegerType()) for n in ("first", "last", "place", "kind")])
 _CORE = ["b1", "b2"]
 _CLASS = [*_CORE, "cid"]
 _BLOCKS = T.StructType([T.StructField(n, T.LongType()) for n in (*_CORE, *_KEY)] + [T.StructField("core", T.IntegerType()), T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType()), T.StructField("decided", T.BooleanType())])
+_SPANS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("first", "last")]))
+_RUNS = T.StructType([*[T.StructField(n, T.LongType()) for n in _KEY], T.StructField("runs", _SPANS)])
+_PIECES = T.StructType([*[T.StructField(n, T.LongType()) for n in (*_KEY, "own")], T.StructField("at", T.IntegerType()), T.StructField("t", T.BinaryType())])
 _FOUND = T.StructType([T.StructField(n, T.LongType()) for n in _CLASS] + [T.StructField(n, T.IntegerType()) for n in ("low", "high")])
 _HALVES = T.StructType([T.StructField(n, T.LongType()) for n in ("p1", "p2", "pid", *_CORE)] + [T.StructField("add", T.IntegerType()), T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("decided", T.BooleanType())])
 
@@ -265,9 +270,75 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return bounded(docs).withColumn("__k1", F.xxhash64(t, own)).withColumn("__k2", F.xxhash64(own, t, F.lit(1))).withColumn("__t", t)
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
+def merged_starts(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """First and last of consecutive window starts."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _span_lists(column: pa.Array):
+    """Each row's list of (first, last); of a null an empty one."""
+    for i in range(len(column)):
+        found = column[i].values
+        yield [] if found is None else list(zip(*(c.to_pylist() for c in found.flatten()), strict=True))
+
+
+def _long_runs(batches, more: int):
+    """Of (k1, k2, spans): consecutive starts, over `more` of them, of the texts that have any."""
+    schema = _arrow(_RUNS)
+    for batch in batches:
+        rows = []
+        for k1, k2, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _span_lists(batch.column(2)), strict=True):
+            runs = [{"first": a, "last": b} for a, b in merged_starts(spans) if b - a >= more]
+            if runs:
+                rows.append((k1, k2, runs))
+        yield _batch(rows, schema)
+
+
+def _cut_pieces(batches, shorter: int):
+    """Of (k1, k2, packed text, runs of window starts): the bytes of each run's windows, where they begin, and a second key of their own."""
+    schema = _arrow(_PIECES)
+    for batch in batches:
+        out, size = [], 0
+        for k1, k2, packed, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), _span_lists(batch.column(3)), strict=True):
+            text = _unpack(packed.as_py())
+            for a, b in runs:
+                own = (k2 + a + (1 << 63)) % (1 << 64) - (1 << 63)
+                out.append((k1, k2, own, a, text[a : b + shorter]))
+                size += b + shorter - a
+                if size > CHUNK_BYTES:
+                    yield _batch(out, schema)
+                    out, size = [], 0
+        yield _batch(out, schema)
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP, *, within: tuple[DataFrame, int] | None = None) -> DataFrame:
     """(k1, k2, first, last): window starts of each text (by the hashes of id and text) at which the window's bytes also start elsewhere.
 
+    within: (k1, k2, spans) for shorter windows, and their length. All shorter strings of a repeated string are repeated, so
+    only pieces of texts in which they follow each other for a whole window are looked at, and nothing is lost.
+    """
+    keyed = _keyed(docs, id_col, text)
+    plain = keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__t").alias("t")).where(F.octet_length("t") >= window)
+    if within is None:
+        return _windows_of(plain, window, group)
+    spans, shorter = within
+    runs = saved(spans.select(*_KEY, "spans").mapInArrow(partial(_long_runs, more=window - shorter), _RUNS))
+    packed = plain.mapInArrow(_packed, "k1 long, k2 long, t binary")
+    pieces = saved(packed.join(runs, _KEY).select(*_KEY, "t", "runs").mapInArrow(partial(_cut_pieces, shorter=shorter), _PIECES))
+    found = _windows_of(pieces.select("k1", F.col("own").alias("k2"), "t"), window, group).withColumnRenamed("k2", "own")
+    places = pieces.select(*_KEY, "own", "at").distinct()  # repeated rows have equal pieces
+    return found.join(places, ["k1", "own"]).select(*_KEY, (F.col("first") + F.col("at")).alias("first"), (F.col("last") + F.col("at")).alias("last"))
+
+
+def _windows_of(plain: DataFrame, window: int, group: int) -> DataFrame:
+    """repeated_windows of (k1, k2, t).
+
     1. Anchors of all texts, each with a hash of its context (the bytes of all its windows). Equal ones meet in their
        part of the table already.
     2. By anchor, counted before the shuffle: contexts that occur twice are repeated whole. One of each goes on with
@@ -275,8 +346,6 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     3. These are cut to blocks; blocks meet by a hash of their core. Equal ones are one class with a count, found
        before the shuffle; the classes of a core go to suffix arrays, of crowded cores after being cut in half.
     """
-    keyed = _keyed(docs, id_col, text)
-    plain = keyed.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__t").alias("t")).where(F.octet_length("t") >= window)
     rows = saved(plain.mapInArrow(partial(_find_anchors, window=window), _ROWS))
     weight = F.when(F.col("kind") == 1, F.lit(2)).otherwise(F.lit(1))
     first = rows.where("kind < 2").select("h", "c", *_KEY, "first", "last", "place", weight.alias("weight"))
@@ -305,14 +374,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
 def removed_runs(spans: list[tuple[int, int]], window: int = WINDOW, text: bytes = b"", min_words: int = 0) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by the windows that start in spans; min_words: only by repeated strings of that many words of text."""
-    starts: list[list[int]] = []
-    for a, b in sorted(spans):
-        if starts and a <= starts[-1][1] + 1:
-            starts[-1][1] = max(starts[-1][1], b)
-        else:
-            starts.append([a, b])
     out: list[list[int]] = []
-    for a, b in starts:
+    for a, b in merged_starts(spans):
         b += window
         if min_words and len(text[a:b].split()) < min_words:
             continue
@@ -323,22 +386,33 @@ def removed_runs(spans: list[tuple[int, int]], window: int = WINDOW, text: bytes
     return [(a, b) for a, b in out]
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, as_text: bool = False, window: int = WINDOW, min_words: int = 0) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, as_text: bool = False, window: int = WINDOW, min_words: int = 0, passages: tuple[int, int] | None = None) -> DataFrame:
     """keep's columns, n_bytes, n_removed, n_spans, kept_sha256 and kept: the bytes left of each text.
 
     Each byte goes that is covered by a string of `window` bytes which also starts anywhere else, in this text or
     another; all strings are judged on the input. min_words: a repeated string (of window bytes or more) with fewer words stays.
     as_text: kept is a string, without the bytes of characters that were cut. window has BLOCK bytes at least.
+    passages: (bytes, fewer than window's; words): adds n_passages and n_passage_bytes, the maximal runs of repeated strings of so many bytes
+    and words at least, and their bytes. These are only counted; what is removed doesn't depend on them.
 
     Null texts are empty. Repeated rows are each other's copies. Texts shorter than window
     stay as they are. Columns that are not kept don't matter; kept ones named like a result give way. An empty table stays empty.
     """
     if window < BLOCK:
         raise ValueError(f"windows have {BLOCK} bytes at least")
+    if passages and not BLOCK <= passages[0] < window:
+        raise ValueError(f"passages have {BLOCK} bytes at least, and fewer than a window")
     new = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType() if as_text else T.BinaryType())]
+    new += [("n_passages", T.LongType()), ("n_passage_bytes", T.LongType())] if passages else []
     keep = [k for k in (docs.columns if keep is None else keep) if k not in [n for n, _ in new]]
     # kept before the last join, which then is one of two plain shuffles and can be split at rows that are there many times
-    spans = saved(repeated_windows(docs, id_col, text, window).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans")))
+    listed = lambda found: found.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    if passages:
+        short = saved(listed(repeated_windows(docs, id_col, text, passages[0])))
+        long = listed(repeated_windows(docs, id_col, text, window, within=(short, passages[0])))
+        spans = saved(short.withColumnRenamed("spans", "short").join(long, _KEY, "left"))
+    else:
+        spans = saved(listed(repeated_windows(docs, id_col, text, window)))
     source = _keyed(docs, id_col, text).select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.col("__t").alias("t"))
     row_type = source.schema["row"].dataType
     packed = source.mapInArrow(_packed, T.StructType([*source.schema.fields[:3], T.StructField("t", T.BinaryType())]))
@@ -356,21 +430,26 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
                 if size > CHUNK_BYTES:
                     yield made(row)
                     out, begun, size = [[] for _ in new], row, 0
-                t, found = _unpack(batch.column(1)[row].as_py()), batch.column(2)[row].values
+                t, (found, *short) = _unpack(batch.column(1)[row].as_py()), [next(_span_lists(c.slice(row, 1))) for c in batch.columns[2:]]
                 size += len(t)
-                runs = removed_runs(list(zip(*(c.to_pylist() for c in found.flatten()), strict=True)) if found is not None else [], window, t, min_words)
+                runs = removed_runs(found, window, t, min_words)
                 at, left = 0, []
                 for a, b in runs:
                     left.append(t[at:a])
                     at = b
                 left.append(t[at:])
                 kept = b"".join(left)
-                for column, value in zip(out, (len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept), strict=True):
+                values = [len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept]
+                if passages:
+                    told = removed_runs(short[0], passages[0], t, passages[1])
+                    values += [len(told), sum(b - a for a, b in told)]
+                for column, value in zip(out, values, strict=True):
                     column.append(value)
             yield made(batch.num_rows)
 
-    return packed.join(spans, _KEY, "left").select("row", "t", "spans").mapInArrow(remove, schema).select("row.*", *[n for n, _ in new])
+    return packed.join(spans, _KEY, "left").select("row", "t", "spans", *["short"][: bool(passages)]).mapInArrow(remove, schema).select("row.*", *[n for n, _ in new])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("kept")
+    """What is removed goes by windows of 400 bytes; repeated passages, which may be shorter, are counted beside that."""
+    return deduplicate(table(spark, sf_dir, "documents"), keep=["doc_id"], passages=PASSAGE).drop("kept")

@@ -132,3 +132,33 @@ def test_text_without_cut_characters(spark):
     rows = [(1, "aé" + shared), (2, "b" + shared + "日")]
     for r in S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), as_text=True).collect():
         assert "�" not in r["kept"]
+
+
+@pytest.mark.parametrize("group", [S.GROUP, 3])
+def test_passages_beside_windows(spark, monkeypatch, group):
+    """Passages are counted as by windows of their own length; what 400-byte windows remove stays as it is."""
+    monkeypatch.setattr(S.repeated_windows, "__defaults__", ("doc_id", "text", 400, group))
+    r = random.Random(12)
+    own = lambda n: "".join(r.choice("klmnopqrst") for _ in range(n))
+    long = own(700)
+    rows = [*passages(7), (800, "a b c d e " * 60), (801, long), (802, own(50) + long[100:] + own(80) + long[:450]), (803, long[:650] + own(9)), (804, "é" * 300), (804, "é" * 300), (None, None)]
+    made = S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), passages=(200, 50)).collect()
+    id_of = lambda x: -1 if x["doc_id"] is None else x["doc_id"]
+    assert sorted((id_of(x), x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in made) == brute(rows)
+    want = brute(rows, 200, 50)
+    assert sorted((id_of(x), x["n_bytes"], x["n_passage_bytes"], x["n_passages"]) for x in made) == [x[:4] for x in want]
+    assert sum(x["n_removed"] == 0 < x["n_passages"] for x in made) > 0
+    with pytest.raises(ValueError):
+        S.deduplicate(spark.createDataFrame(rows[:1], "doc_id long, text string"), passages=(400, 50))
+
+
+def test_op7_tells_passages_of_over_50_words(spark, tmp_path):
+    r = random.Random(13)
+    text = lambda n: " ".join("".join(r.choice("aeiourstln") for _ in range(r.randint(2, 6))) for _ in range(n))
+    passage = text(56)
+    assert 200 < len(passage) < 400
+    rows = [(i, f"{text(60)}\n{passage}\n{text(40)}" if i < 3 else text(150)) for i in range(12)] + [(12, ""), (13, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for x in S.op7(spark, str(tmp_path)).collect():
+        assert (x["n_passages"], x["n_removed"]) == (x["doc_id"] < 3, 0) and (x["n_passage_bytes"] >= len(passage)) == (x["doc_id"] < 3)
+        assert x["kept_sha256"] == hashlib.sha256((rows[x["doc_id"]][1] or "").encode()).hexdigest()
