@@ -44,17 +44,17 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
     n = len(x) - w + 1
     pad = -len(x) % w
     full = np.concatenate((x, np.full(pad, 2**64 - 1, np.uint64))).reshape(-1, w)
-    before = np.minimum.accumulate(full, axis=1).ravel()
-    after = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(after[:n], before[w - 1 : w - 1 + n])
-    # leftmost place of that value at or after the window's start
-    changes = np.nonzero(np.concatenate(([True], least[1:] != least[:-1])))[0]
-    out = np.zeros(n, np.int64)
-    stops = np.append(changes[1:], n)
-    for a, b in zip(changes.tolist(), stops.tolist(), strict=True):
-        where = np.nonzero(x[a : b + w - 1] == least[a])[0] + a
-        out[a:b] = where[np.searchsorted(where, np.arange(a, b))]
-    return out
+    at = np.arange(full.size)
+    # from each block's begin a value below all before it is the new leftmost least; from its end one that is not above all after it
+    new = np.ones(full.shape, bool)
+    before = np.minimum.accumulate(full, axis=1)
+    np.less(full[:, 1:], before[:, :-1], out=new[:, 1:])
+    place_before = np.maximum.accumulate(np.where(new.ravel(), at, 0))
+    after = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1]
+    np.less_equal(full[:, :-1], after[:, 1:], out=new[:, :-1])
+    new[:, -1] = True
+    place_after = np.minimum.accumulate(np.where(new.ravel(), at, full.size)[::-1])[::-1]
+    return np.where(after.ravel()[:n] <= before.ravel()[w - 1 : w - 1 + n], place_after[:n], place_before[w - 1 : w - 1 + n])
 
 
 def anchors(data: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 
 from lithoflow.durable import durable, local_folder
 
-__all__ = ["BATCH_BYTES", "CHUNK_BYTES", "Memo", "as_binary", "bounded", "chunks", "durable", "map_texts", "saved", "shared_dir", "table"]
+__all__ = ["BATCH_BYTES", "CHUNK_BYTES", "Memo", "as_binary", "bounded", "chunks", "durable", "map_texts", "saved", "scratch", "shared_dir", "table"]
 
 #: Text that one call of a row function gets at most, unless a single text is longer.
 CHUNK_BYTES = 2 << 20
@@ -43,9 +45,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at.get()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """As durable, in Parquet: columns can be pruned and are compressed. The files stay in the shared folder."""
+#: Paths that the innermost scratch deletes.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that were saved inside, at its end; one that is needed later is saved with stays=True."""
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def saved(df: DataFrame, stays: bool = False) -> DataFrame:
+    """As durable, in Parquet: columns can be pruned and are compressed. The files stay in the shared folder, unless in a scratch."""
     path = f"{shared_dir(df.sparkSession)}/lithoflow-{uuid.uuid4().hex}"
+    paths = _SCRATCH.get()
+    if paths is not None and not stays:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lithoflow.llm.anchors import WINDOW, anchors
-from lithoflow.llm.common import CHUNK_BYTES, as_binary, bounded, chunks, saved, table
+from lithoflow.llm.common import CHUNK_BYTES, as_binary, bounded, chunks, saved, scratch, table
 from lithoflow.llm.gsaca import common_prefixes, suffix_array
 
 #: Windows in a block, a power of two; their common core has window - BLOCK + 1 bytes.
@@ -408,11 +408,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
     # kept before the last join, which then is one of two plain shuffles and can be split at rows that are there many times
     listed = lambda found: found.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     if passages:
-        short = saved(listed(repeated_windows(docs, id_col, text, passages[0])))
-        long = listed(repeated_windows(docs, id_col, text, window, within=(short, passages[0])))
-        spans = saved(short.withColumnRenamed("spans", "short").join(long, _KEY, "left"))
+        with scratch(docs.sparkSession):
+            short = saved(listed(repeated_windows(docs, id_col, text, passages[0])), stays=True)
+        with scratch(docs.sparkSession):
+            long = listed(repeated_windows(docs, id_col, text, window, within=(short, passages[0])))
+            spans = saved(short.withColumnRenamed("spans", "short").join(long, _KEY, "left"), stays=True)
     else:
-        spans = saved(listed(repeated_windows(docs, id_col, text, window)))
+        with scratch(docs.sparkSession):
+            spans = saved(listed(repeated_windows(docs, id_col, text, window)), stays=True)
     source = _keyed(docs, id_col, text).select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.col("__t").alias("t"))
     row_type = source.schema["row"].dataType
     packed = source.mapInArrow(_packed, T.StructType([*source.schema.fields[:3], T.StructField("t", T.BinaryType())]))

@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from hypothesis import strategies as st
 
 from lithoflow.llm import anchors as A
 from lithoflow.llm import suffixes as S
+from lithoflow.llm.common import shared_dir
 from lithoflow.llm.gsaca import common_prefixes, suffix_array
 
 
@@ -162,3 +165,15 @@ def test_op7_tells_passages_of_over_50_words(spark, tmp_path):
     for x in S.op7(spark, str(tmp_path)).collect():
         assert (x["n_passages"], x["n_removed"]) == (x["doc_id"] < 3, 0) and (x["n_passage_bytes"] >= len(passage)) == (x["doc_id"] < 3)
         assert x["kept_sha256"] == hashlib.sha256((rows[x["doc_id"]][1] or "").encode()).hexdigest()
+
+
+def test_tables_of_the_search_are_deleted(spark):
+    rows = passages(9, 20)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = urlparse(shared_dir(spark)).path
+    tables = lambda: {x for x in os.listdir(folder) if x.startswith("lithoflow-")}
+    before = tables()
+    assert found(frame) == brute(rows) and len(tables() - before) == 1
+    before = tables()
+    S.deduplicate(frame, passages=(200, 50)).collect()
+    assert len(tables() - before) == 2
